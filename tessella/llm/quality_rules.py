@@ -21,8 +21,8 @@ MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 SYMBOLS = "#*$%&|<>"
 ROUNDS = 60
-#: A rule's rates are kept within these bounds, so that no class swallows all documents.
-BAD_ON_GOOD, BAD_ON_BAD = (0.0005, 0.10), (0.20, 0.98)
+#: A rule's rates are kept within these bounds: rules are written to be wrong on few good documents, so one bad vote weighs much, and no class swallows all documents.
+BAD_ON_GOOD, BAD_ON_BAD = (0.0002, 0.002), (0.20, 0.98)
 PRIOR_GOOD = (0.50, 0.99)
 KEEP_FROM = 0.5
 

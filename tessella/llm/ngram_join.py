@@ -86,9 +86,8 @@ def part_keys(shingles: np.ndarray, percent: int) -> np.ndarray:
     size = len(shingles)
     if not size:
         return np.zeros(0, U)
-    own = size_class(size)
-    # a partner may be of the next class if its least size is near enough
-    classes = [own] + [own + 1] * (100 * size >= percent * (class_top(own) + 1))
+    # the larger set of a pair is of one of these classes
+    classes = range(size_class(size), size_class(100 * size // percent) + 1)
     out = []
     for c in classes:
         parts, spare = parts_of(c, percent)

@@ -16,14 +16,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .texthash import ALNUM, FOLD, U, chunks, span_hashes, window_hashes, words
+from .texthash import FOLD, NOT_SPACE, U, chunks, span_hashes, window_hashes, words
 
 #: Hash buckets of the models.
-BUCKETS = 1 << 15
+BUCKETS = 1 << 18
 #: Labelled good documents that the target model is counted over, at most: those of smallest hash.
 TARGET_ROWS = 20_000
-#: Added to every count.
-SMOOTHING = 1.0
+#: Occurrences at the target's overall share that are added to each bucket, so that rare n-grams of the sample say little.
+SMOOTHING = 30.0
 SEED = 11
 #: n-grams from which a document's weight counts in full; the weight of a longer one is scaled down to so many.
 FULL_LENGTH = 200
@@ -33,7 +33,7 @@ def gram_buckets(texts: pa.Array):
     """For runs of texts: (bucket of each word and word pair, first bucket of each text)."""
     for lo, hi, raw, offsets in chunks(texts):
         buf = FOLD[raw]
-        starts, ends, first = words(buf, offsets, ALNUM)
+        starts, ends, first = words(buf, offsets, NOT_SPACE)
         h = span_hashes(buf, starts, ends) if len(starts) else np.zeros(0, U)
         pairs = window_hashes(h, 2)
         inner = first[(first > 0) & (first < len(h))]
@@ -52,7 +52,7 @@ def target_ids(labels: DataFrame, most: int = TARGET_ROWS) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> np.ndarray:
-    """Log ratio of the target's to the raw model's probability of each bucket."""
+    """Log ratio of the target's to the raw model's probability of each bucket; zeros without labels."""
     target = F.broadcast(target_ids(labels).withColumn("_target", F.lit(True)))  # TARGET_ROWS at most
     marked = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(target, "doc_id", "left").select("text", F.coalesce("_target", F.lit(False)).alias("target"))
 
@@ -67,11 +67,14 @@ def fit(docs: DataFrame, labels: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(there), pa.array(raw[there]), pa.array(good[there])], names=["bucket", "raw", "good"])
 
     counts = marked.mapInArrow(count, "bucket long, raw long, good long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("good").alias("good")).collect()
-    raw, good = np.full(BUCKETS, SMOOTHING), np.full(BUCKETS, SMOOTHING)
+    raw, good = np.zeros(BUCKETS), np.zeros(BUCKETS)
     for r in counts:  # BUCKETS rows at most
-        raw[r["bucket"]] += r["raw"]
-        good[r["bucket"]] += r["good"]
-    return np.log(good / good.sum()) - np.log(raw / raw.sum())
+        raw[r["bucket"]] = r["raw"]
+        good[r["bucket"]] = r["good"]
+    if not good.sum():
+        return np.zeros(BUCKETS)
+    share = good.sum() / raw.sum()
+    return np.log((good + SMOOTHING * share) / (raw + SMOOTHING) / share)
 
 
 def weigh(docs: DataFrame, ratios: np.ndarray) -> DataFrame:
@@ -125,14 +128,14 @@ def kth_largest(df: DataFrame, column: str, k: int) -> float | None:
 def resample(docs: DataFrame, labels: DataFrame, share: float | None = None, seed: int = SEED) -> DataFrame:
     """One row per document: doc_id, n_grams, log_weight, kept.
 
-    k is `share` of the documents; by default the share of good ones among the labels. Weights of documents
+    k is `share` of the documents; by default the share of quality 1 among the labels. Weights of documents
     over FULL_LENGTH n-grams are scaled to that length, so that length alone decides nothing. Rows with equal
     keys at the limit, such as repeated rows, are kept alike. Null and empty texts have weight 1. Without
     labels everything is kept.
     """
     scored = common.stage(weigh(docs, fit(docs, labels)), "weights")
     if share is None:
-        n, good = labels.agg(F.count(F.lit(1)), F.sum(((F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0)).cast("int"))).first()
+        n, good = labels.agg(F.count("quality"), F.sum("quality")).first()
         share = good / n if n and good else 1.0
     key = F.col("log_weight") * F.least(F.lit(1.0), F.lit(float(FULL_LENGTH)) / F.greatest("n_grams", F.lit(1))) + gumbel(seed, "doc_id")
     keyed = scored.withColumn("_key", key)

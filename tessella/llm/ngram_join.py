@@ -236,7 +236,8 @@ def components(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, block:
     )
     dealt = near.join(sizes, "component").select(F.col("node").alias("doc"), "component", cuts.alias("cuts")).withColumn("own", own).withColumn("task", F.explode(pairs)).select("doc", "component", "own", "task.*")
     # a class is represented by one document of its smallest id; repeated rows with that id and other sets are told apart by the set
-    texts = named.join(dealt, "doc")
+    # the same join at every size; one that is broadcast for small inputs only would hide what large ones cost
+    texts = named.join(dealt.hint("merge"), "doc")
 
     def search(key, table):
         pieces = list(shingle_sets(table.column("text").combine_chunks(), n))

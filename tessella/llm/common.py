@@ -6,6 +6,7 @@ Everything that outlives one stage goes to the folder that the cluster names in
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -51,6 +52,12 @@ def unstage(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner remove the shuffle files of plans that are out of use, before the next plan writes its own."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with value computed once a row, however often body uses it (lambdas would repeat it for each element)."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

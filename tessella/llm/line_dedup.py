@@ -18,7 +18,6 @@ Every step is a DataFrame operation.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import common
@@ -33,40 +32,88 @@ def n_words(line: Column) -> Column:
     return F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "), F.lit(""))) + 1
 
 
-def _half(line: Column, n: Column, side: int) -> Column:
-    """The first (side 1) or last (side -1) n words."""
-    return F.call_function("substring_index", line, F.lit(" "), n * side)
+#: Half keys of a line: (column, label of two, first or last words, bit). Lines one edit apart share a label, and one of its keys.
+HALVES = [("k1", 0, 1, 1), ("k2", 0, -1, 2), ("k3", 1, 1, 4), ("k4", 1, -1, 8)]
 
 
-def half_keys(line: Column, n: Column) -> Column:
-    """Keys that two lines share if they are one edit apart; m is the number of words of the longer one."""
-    keys = []
-    for m in (n, n + 1):
-        h = F.floor((m - 1) / 2).cast("int")
-        keys += [F.xxhash64(m, F.lit(side), _half(line, h, side)) for side in (1, -1)]
-    return F.array(*keys)
+def _label(n: Column, which: int) -> Column:
+    """n // 2 or (n + 1) // 2: two lengths that differ by one at most have one of them in common. The key takes one word less."""
+    return F.floor((n + which) / 2).cast("int")
 
 
-def _exploded(docs: DataFrame, *more: Column) -> DataFrame:
-    """(id, t, no, line) for lines that count, where (id, t) names a document: repeated rows are named alike."""
+def half_keys(line: Column, n: Column) -> dict[str, Column]:
+    out = {}
+    for name, which, side, _ in HALVES:
+        label = _label(n, which)
+        key = F.xxhash64(label, F.lit(side), F.call_function("substring_index", line, F.lit(" "), (label - 1) * side))
+        out[name] = key if not which else F.when(n % 2 == 1, key)  # for even n the labels are one
+    return out
+
+
+def _place(id_: str, t: str, no: str) -> Column:
+    """A line's place in the order of documents and lines as one number, which aggregates without sorting."""
+    wide = lambda c: c.cast("decimal(19,0)")
+    return (wide(F.col(id_)) * wide(F.lit(10**18)) + (F.pmod(F.col(t), F.lit(10**8)) * F.lit(10**10) + F.col(no)).cast("decimal(19,0)")).cast("decimal(38,0)")
+
+
+def _exploded(docs: DataFrame) -> DataFrame:
+    """(id, t, no, line, n) for lines that count, where (id, t) names a document: repeated rows are named alike."""
     text = F.col("text").cast("string")
     named = docs.select(F.coalesce(F.col("doc_id"), F.lit(common.LAST_ID)).alias("id"), F.xxhash64(text).alias("t"), F.posexplode(F.split(text, "\n")).alias("no", "line"))
     return named.withColumn("line", F.trim("line")).withColumn("n", n_words(F.col("line"))).filter(F.col("n") >= MIN_WORDS)
 
 
+def _xor(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(x))
+
+
+def _xor_before(values: Column) -> Column:
+    """For each entry the XOR of those before it; by groups of a square root's size, so long lines don't take quadratic time."""
+
+    def of(v: Column) -> Column:
+        def with_size(size: Column) -> Column:
+            groups = F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / size).cast("int")), lambda g: _xor(F.slice(v, g * size + 1, size)))
+            return let(groups, lambda gs: F.transform(v, lambda x, i: let(F.floor(i / size).cast("int"), lambda g: _xor(F.slice(gs, F.lit(1), g)).bitwiseXOR(_xor(F.slice(v, g * size + 1, i - g * size))))))
+
+        return let(F.ceil(F.sqrt(F.size(v))).cast("int"), with_size)
+
+    return let(values, of)
+
+
 def variants(near: DataFrame) -> DataFrame:
-    """(key, kind, own): all variants of the lines in near, as hashed keys. kind: s without a word and with its place, d without a word, w the whole line."""
-    word = near.select("own", "n", F.posexplode(F.split("line", " ")).alias("at", "w"))
-    word = word.select("own", "n", "at", F.xxhash64("w", "at").alias("f"), F.xxhash64("w", F.col("at") - 1).alias("moved"))
-    line = W.partitionBy("own")
-    so_far = line.orderBy("at").rowsBetween(W.unboundedPreceding, 0)
-    xor = lambda a, b: a.bitwiseXOR(b)
-    word = word.select("own", "n", "at", "f", F.bit_xor("f").over(line).alias("all"), F.bit_xor("moved").over(line).alias("all_moved"), F.bit_xor("f").over(so_far).alias("to"), F.bit_xor("moved").over(so_far).alias("to_moved"))
-    without = xor(xor(F.col("to"), F.col("f")), xor(F.col("all_moved"), F.col("to_moved")))
-    entry = lambda kind, *key: F.struct(F.xxhash64(F.lit("s" if kind == "s" else "d"), *key).alias("key"), F.lit(kind).alias("kind"))
-    each = F.array(entry("s", xor(F.col("all"), F.col("f")), F.col("n"), F.col("at")), entry("d", without, F.col("n") - 1))
-    first = F.array(entry("w", F.col("all"), F.col("n")))
-    return word.select("own", F.explode(F.when(F.col("at") == 0, F.concat(each, first)).otherwise(each)).alias("v")).select("v.key", "v.kind", "own")
+    """(key, kind, ln): variants of the lines in near, as hashed keys. kind: 0 without a word, with its place; 1 without a word; 2 the whole line.
+
+    A word goes only if it lies outside of some half that the line shares with another.
+    """
+    n = F.col("n")
+    inside = [(name, which, side, bit) for name, which, side, bit in HALVES]
+
+    def open_at(at: Column) -> Column:
+        out = F.lit(False)
+        for _, which, side, bit in inside:
+            has = F.col("flags").bitwiseAND(bit) > 0
+            half = _label(n, which) - 1
+            out = out | (has & ((at >= half) if side == 1 else (at < n - half)))
+        return out
+
+    def of(f: Column, moved: Column, to: Column, to_moved: Column) -> Column:
+        entry = lambda kind, *key: F.struct(F.xxhash64(F.lit(int(kind > 0)), *key).alias("key"), F.lit(kind).cast("byte").alias("kind"))
+
+        def at(i: Column, total: Column, total_moved: Column) -> Column:
+            without = F.get(to, i).bitwiseXOR(total_moved).bitwiseXOR(F.get(to_moved, i)).bitwiseXOR(F.get(moved, i))
+            return F.array(entry(0, total.bitwiseXOR(F.get(f, i)), n, i), entry(1, without, n - 1))
+
+        def body(totals: Column) -> Column:
+            places = F.filter(F.sequence(F.lit(0), n - 1), open_at)
+            return F.concat(F.flatten(F.transform(places, lambda i: at(i, totals["f"], totals["m"]))), F.array(entry(2, totals["f"], n)))
+
+        return let(F.struct(_xor(f).alias("f"), _xor(moved).alias("m")), body)
+
+    words = F.split("line", " ")
+    hashes = let(words, lambda w: F.struct(F.transform(w, lambda x, i: F.xxhash64(x, i)).alias("f"), F.transform(w, lambda x, i: F.xxhash64(x, i - 1)).alias("m")))
+    sums = let(hashes, lambda h: F.struct(h["f"].alias("f"), h["m"].alias("m"), _xor_before(h["f"]).alias("to"), _xor_before(h["m"]).alias("to_m")))
+    made = let(sums, lambda x: of(x["f"], x["m"], x["to"], x["to_m"]))
+    return near.select("ln", F.explode(made).alias("v")).select("v.key", "v.kind", "ln")
 
 
 def within_one_edit(a: Column, b: Column) -> Column:
@@ -80,42 +127,52 @@ def within_one_edit(a: Column, b: Column) -> Column:
     return F.when(F.size(a) == F.size(b), same).when(F.size(a) == F.size(b) + 1, one_out(a, b)).when(F.size(b) == F.size(a) + 1, one_out(b, a)).otherwise(False)
 
 
-def dropped(docs: DataFrame) -> DataFrame:
-    """(id, t, lines): the numbers, from 0, of the lines that go from the document of that name."""
-    whole = _exploded(docs).select("id", "t", "no", F.unhex(F.md5("line")).alias("lid"), "n", half_keys(F.col("line"), F.col("n")).alias("halves"))
-    seen = common.stage(whole, "lines")
-    place = F.struct("id", "t", "no")
+def _dropped(docs: DataFrame) -> DataFrame:
+    halves = half_keys(F.col("line"), F.col("n"))
+    seen = common.stage(_exploded(docs).select("id", "t", "no", F.xxhash64("line").alias("h"), F.xxhash64("line", F.lit(1)).alias("g"), *[k.alias(name) for name, k in halves.items()]), "lines")
+    # 1. distinct lines; every column is of fixed width, so they aggregate by hash
     lines = common.stage(
-        seen.groupBy("lid").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("times"), F.any_value("halves").alias("halves")),
+        seen.groupBy("h", "g").agg(F.min(_place("id", "t", "no")).alias("first"), F.count(F.lit(1)).alias("times"), *[F.any_value(name).alias(name) for name in halves]),
         "distinct-lines",
     )
     # 2. lines that share a half with another line
-    halves = lines.select("lid", F.explode("halves").alias("half"))
-    met = halves.groupBy("half").agg(F.min("lid").alias("a"), F.max("lid").alias("b")).filter("a < b").select("half")
-    candidates = common.stage(halves.join(met, "half", "left_semi").select("lid").distinct().join(lines.select("lid", "first"), "lid"), "near-lines")
-    places = candidates.select("first.id", "first.t", "first.no", "lid", F.struct("first.id", "first.t", "first.no", "lid").alias("own"))
-    if candidates.count() <= BROADCAST_LINES:
-        places = F.broadcast(places)
-    near = common.stage(_exploded(docs).join(places, ["id", "t", "no"]).select("own", "lid", "n", "line").dropDuplicates(["lid"]), "near-texts")
+    entries = F.filter(F.array(*[F.struct(F.col(name).alias("half"), F.lit(bit).alias("bit")) for name, _, _, bit in HALVES]), lambda x: x["half"].isNotNull())
+    each = lines.select("h", "g", "first", F.explode(entries).alias("e")).select("h", "g", "first", "e.half", "e.bit")
+    met = each.groupBy("half").agg(F.min("h").alias("a"), F.max("h").alias("b")).filter("a < b").select("half")
+    near = common.stage(each.join(met.hint("merge"), "half", "left_semi").groupBy("h", "g").agg(F.first("first").alias("first"), F.bit_or("bit").alias("flags")), "near-lines")
+    places = F.broadcast(near) if near.count() <= BROADCAST_LINES else near.hint("merge")
+    found = _exploded(docs).withColumn("first", _place("id", "t", "no")).join(places, "first").select("h", "g", "first", "flags", "n", "line").dropDuplicates(["h", "g"])
+    # numbers in the order of the lines' places
+    texts = common.stage(found.orderBy("first").withColumn("ln", F.monotonically_increasing_id()), "near-texts")
     # 3. for each key, the earliest line of each kind
-    keys = variants(near)
-    whole_or_placed = F.col("kind") != "d"
-    earliest = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.when(whole_or_placed, F.col("own"))).alias("w"), F.min(F.when(~whole_or_placed, F.col("own"))).alias("d")).filter("n > 1")
-    partner = F.when(F.col("kind") == "w", F.col("d")).otherwise(F.col("w"))
-    pairs = keys.join(earliest.drop("n"), "key").withColumn("partner", partner).filter(F.col("partner") < F.col("own")).select(F.col("own.lid").alias("lid"), F.col("partner.lid").alias("other")).distinct()
+    keys = variants(texts)
+    alone = F.col("kind") != 1
+    earliest = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.when(alone, F.col("ln"))).alias("w"), F.min(F.when(~alone, F.col("ln"))).alias("d")).filter("n > 1").drop("n")
+    partner = F.when(F.col("kind") == 2, F.col("d")).otherwise(F.col("w"))
+    pairs = keys.join(earliest.hint("merge"), "key").withColumn("other", partner).filter("other < ln").select("ln", "other").distinct()
     # 4. verified word by word
-    words = near.select("lid", F.split("line", " ").alias("words"))
+    words = texts.select("ln", F.split("line", " ").alias("words"))
     verified = (
-        pairs.join(words, "lid")
-        .join(words.select(F.col("lid").alias("other"), F.col("words").alias("others")), "other")
+        pairs.join(words.join(texts.select("ln", "h", "g"), "ln"), "ln")
+        .join(words.select(F.col("ln").alias("other"), F.col("words").alias("others")), "other")
         .filter(within_one_edit(F.col("words"), F.col("others")))
-        .select("lid")
+        .select("h", "g")
         .distinct()
         .withColumn("near", F.lit(True))
     )
-    gone = lines.select("lid", "first", "times").join(verified, "lid", "left").filter("times > 1 OR near").select("lid", "first", F.coalesce("near", F.lit(False)).alias("near"))
-    later = seen.select("lid", "id", "t", "no").join(gone, "lid").filter(F.col("near") | (F.struct("id", "t", "no") != F.col("first")))
-    return later.groupBy("id", "t").agg(F.collect_set("no").alias("lines"))
+    gone = lines.select("h", "g", "first", "times").join(verified, ["h", "g"], "left").filter("times > 1 OR near").select("h", "g", "first", F.coalesce("near", F.lit(False)).alias("near"))
+    later = seen.select("h", "g", "id", "t", "no").join(gone.hint("merge"), ["h", "g"]).filter(F.col("near") | (_place("id", "t", "no") != F.col("first")))
+    out = common.stage(later.groupBy("id", "t").agg(F.collect_set("no").alias("lines")), "dropped-lines")
+    for done in (seen, lines, near, texts):
+        common.unstage(done)
+    return out
+
+
+def dropped(docs: DataFrame) -> DataFrame:
+    """(id, t, lines): the numbers, from 0, of the lines that go from the document of that name."""
+    out = _dropped(docs)
+    common.release(docs.sparkSession)
+    return out
 
 
 def dedup(docs: DataFrame) -> DataFrame:
@@ -127,7 +184,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     """
     gone = dropped(docs.select("doc_id", "text"))
     named = docs.withColumns({"_id": F.coalesce(F.col("doc_id"), F.lit(common.LAST_ID)), "_t": F.xxhash64(F.col("text").cast("string"))})
-    out = named.join(gone.select(F.col("id").alias("_id"), F.col("t").alias("_t"), F.col("lines").alias("_gone")), ["_id", "_t"], "left")
+    out = named.join(gone.select(F.col("id").alias("_id"), F.col("t").alias("_t"), F.col("lines").alias("_gone")).hint("merge"), ["_id", "_t"], "left")  # by merge at every size
 
     def rest(lines: Column) -> Column:
         return F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone")), lambda i: F.get(lines, i)), "\n")

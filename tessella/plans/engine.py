@@ -6,6 +6,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..functions.udfs import register
 from .lexer import tokens
 from .spark_sql import translate
 
@@ -44,7 +45,10 @@ class Engine:
         return translate(sql, dialect, self.catalog(sql, dialect))
 
     def run(self, sql: str, dialect: str) -> DataFrame:
-        return self.spark.sql(self.spark_sql(sql, dialect))
+        text = self.spark_sql(sql, dialect)
+        if "tessella_" in text:
+            register(self.spark)
+        return self.spark.sql(text)
 
     def compiles(self, sql: str, dialect: str) -> tuple[bool, str]:
         """Whether Spark can plan the query, and why not; nothing is executed."""

@@ -219,6 +219,10 @@ q("array_ops", "pg", "SELECT n_nationkey, (ARRAY[1, n_nationkey, 3])[2] AS a, ar
 q("geo_point_distance", "mysql", "SELECT n_nationkey, round(ST_DISTANCE(POINT(n_nationkey, n_regionkey), POINT(3, 4)), 6) AS d, ST_X(POINT(n_nationkey, 2)) AS x FROM nation", "SELECT n_nationkey, round(sqrt(pow(n_nationkey - 3, 2) + pow(n_regionkey - 4, 2)), 6) AS d, CAST(n_nationkey AS DOUBLE) AS x FROM nation")
 q("xml_funcs", "pg", "SELECT n_nationkey, xmlelement(name_, n_name) AS a, xmlcomment(n_name) AS b FROM nation", "SELECT n_nationkey, '<name_>' || n_name || '</name_>' AS a, '<!--' || n_name || '-->' AS b FROM nation")
 q("collate_ci", "mysql", "SELECT n_nationkey FROM nation WHERE n_name COLLATE utf8mb4_general_ci = lower(n_name)", "SELECT n_nationkey FROM nation")
+q("json_mutation", "mysql", "SELECT event_id, JSON_SET(props, '$.k', 1, '$.z', 'y') AS a, JSON_REMOVE(props, '$.k') AS b, JSON_MERGE_PATCH(props, '{\"q\": [1, 2]}') AS c, JSON_DEPTH(props) AS d FROM events WHERE event_id < 500",
+  """SELECT event_id, '{"k": 1, "z": "y"}' AS a, '{}' AS b, '{"k": ' || (props->>'$.k') || ', "q": [1, 2]}' AS c, 2 AS d FROM events WHERE event_id < 500""")
+q("geo_polygons", "mysql", "SELECT n_nationkey, ST_AREA(ST_GEOMFROMTEXT(CONCAT('POLYGON((0 0,', n_nationkey + 1, ' 0,', n_nationkey + 1, ' 2,0 2,0 0))'))) AS a, MBRCONTAINS('POLYGON((0 0,10 0,10 10,0 10,0 0))', CONCAT('POINT(', n_nationkey, ' 5)')) AS c, ST_ASTEXT(ST_CENTROID('POLYGON((0 0,4 0,4 2,0 2,0 0))')) AS m, ST_LENGTH('LINESTRING(0 0,3 4)') AS l FROM nation",
+  "SELECT n_nationkey, CAST(2 * (n_nationkey + 1) AS DOUBLE) AS a, CAST(n_nationkey <= 10 AS DOUBLE) AS c, 'POINT(2 1)' AS m, CAST(5 AS DOUBLE) AS l FROM nation")
 q("tpch_q1", "pg", "SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS sum_disc, round(sum(l_extendedprice * (1 - l_discount) * (1 + l_tax)), 2) AS sum_charge, round(avg(l_discount), 6) AS avg_disc, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02 00:00:00' GROUP BY l_returnflag, l_linestatus ORDER BY l_returnflag, l_linestatus")
 q("tpch_q3", "mysql", "SELECT l_orderkey, round(SUM(l_extendedprice * (1 - l_discount)), 2) AS revenue, o_orderdate FROM customer, orders, lineitem WHERE c_mktsegment = 'BUILDING' AND c_custkey = o_custkey AND l_orderkey = o_orderkey AND o_orderdate < TIMESTAMP '1996-03-15 00:00:00' GROUP BY l_orderkey, o_orderdate ORDER BY revenue DESC, o_orderdate, l_orderkey LIMIT 10",
   "SELECT l_orderkey, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, o_orderdate FROM customer, orders, lineitem WHERE c_mktsegment = 'BUILDING' AND c_custkey = o_custkey AND l_orderkey = o_orderkey AND o_orderdate < TIMESTAMP '1996-03-15' GROUP BY ALL ORDER BY revenue DESC, o_orderdate, l_orderkey LIMIT 10")

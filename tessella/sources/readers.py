@@ -206,8 +206,10 @@ def read_json_table(spark: SparkSession, path: str, schema: T.StructType) -> Dat
 def read_pipe(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """Pipe-separated ISO-8859-1 text; an empty field is null; a line of another number of fields is an error."""
     lines = spark.read.option("encoding", "ISO-8859-1").csv(path, sep="\u0001", schema="line string", quote="")
-    parts = lines.select(F.split(F.regexp_replace("line", r"\|$", ""), r"\|", -1).alias("p"))
     n = len(schema)
+    parts = lines.select(F.split("line", r"\|", -1).alias("p"))
+    closing = (F.size("p") == n + 1) & (F.get("p", F.lit(n)) == "")  # a line may end with a separator
+    parts = parts.select(F.when(closing, F.slice("p", 1, n)).otherwise(F.col("p")).alias("p"))
     checked = parts.withColumn("p", F.when(F.size("p") == n, F.col("p")).otherwise(F.raise_error(F.concat(F.lit(f"a line has not {n} fields but "), F.size("p").cast("string")))))
     return typed(checked.select(*[F.get("p", F.lit(k)).alias(f.name) for k, f in enumerate(schema)]), schema)
 

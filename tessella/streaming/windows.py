@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 
 def _late(df: DataFrame, time: str, wait: str | None) -> DataFrame:
-    return df.withWatermark(time, wait) if wait and df.isStreaming else df
+    """With a watermark on a stream, which Spark keeps for timestamps with a zone only; the session's zone is UTC."""
+    return df.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, wait) if wait and df.isStreaming else df
 
 
 def _out(df: DataFrame, keys: list[str]) -> DataFrame:
-    return df.select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), *keys, *[c for c in df.columns if c not in (*keys, "window")])
+    at = lambda end: F.col(f"window.{end}").cast("timestamp_ntz").alias(end)
+    return df.select(at("start"), at("end"), *keys, *[c for c in df.columns if c not in (*keys, "window")])
 
 
 def tumbling(df: DataFrame, time: str, width: str, keys: list[str], *aggregates, wait: str | None = "10 minutes") -> DataFrame:

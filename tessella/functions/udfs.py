@@ -134,6 +134,17 @@ def _well_formed(text: str) -> bool:
     return True
 
 
+def _xml_rows(text: str, path: str) -> list[str]:
+    import xml.etree.ElementTree as ET
+
+    root = ET.fromstring(text)
+    top, *rest = [p for p in path.split("/") if p]
+    if top != root.tag and not path.startswith("//"):
+        return []
+    found = root.iter(top) if path.startswith("//") and not rest else root.findall("./" + "/".join(rest)) if rest else [root]
+    return [ET.tostring(x, encoding="unicode").strip() for x in found]
+
+
 def _each(f: Callable, *series: pd.Series) -> pd.Series:
     """f of each row; null if any argument is."""
     return pd.Series([None if any(v is None or v is pd.NA or isinstance(v, float) and v != v for v in row) else f(*row) for row in zip(*series, strict=True)], dtype=object)
@@ -150,6 +161,7 @@ def register(spark: SparkSession) -> None:
     add("json_search", "string", lambda doc, how, what: search(json.loads(doc), how.lower() == "one", what), 3)
     add("json_depth", "int", lambda doc: depth(json.loads(doc)), 1)
     add("xml_ok", "boolean", _well_formed, 1)
+    add("xml_rows", "array<string>", _xml_rows, 2)
     add("normalize", "string", lambda s, form: unicodedata.normalize(form, s), 2)
     add("compress", "binary", lambda s: len(s.encode()).to_bytes(4, "little") + zlib.compress(s.encode()), 1)
     add("uncompress", "string", lambda b: zlib.decompress(bytes(b)[4:]).decode(), 1)

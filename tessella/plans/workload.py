@@ -223,6 +223,14 @@ q("json_mutation", "mysql", "SELECT event_id, JSON_SET(props, '$.k', 1, '$.z', '
   """SELECT event_id, '{"k": 1, "z": "y"}' AS a, '{}' AS b, '{"k": ' || (props->>'$.k') || ', "q": [1, 2]}' AS c, 2 AS d FROM events WHERE event_id < 500""")
 q("geo_polygons", "mysql", "SELECT n_nationkey, ST_AREA(ST_GEOMFROMTEXT(CONCAT('POLYGON((0 0,', n_nationkey + 1, ' 0,', n_nationkey + 1, ' 2,0 2,0 0))'))) AS a, MBRCONTAINS('POLYGON((0 0,10 0,10 10,0 10,0 0))', CONCAT('POINT(', n_nationkey, ' 5)')) AS c, ST_ASTEXT(ST_CENTROID('POLYGON((0 0,4 0,4 2,0 2,0 0))')) AS m, ST_LENGTH('LINESTRING(0 0,3 4)') AS l FROM nation",
   "SELECT n_nationkey, CAST(2 * (n_nationkey + 1) AS DOUBLE) AS a, CAST(n_nationkey <= 10 AS DOUBLE) AS c, 'POINT(2 1)' AS m, CAST(5 AS DOUBLE) AS l FROM nation")
+q("loose_group_by", "mysql", "SELECT c_custkey, c_name, UPPER(c_mktsegment) AS seg, COUNT(*) AS n FROM customer JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey", "SELECT c_custkey, any_value(c_name) AS c_name, any_value(upper(c_mktsegment)) AS seg, count(*) AS n FROM customer JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey")
+q("cube_vs_union", "mysql", "SELECT o_orderstatus AS a, o_orderpriority AS b, COUNT(*) AS n FROM orders GROUP BY o_orderstatus, o_orderpriority UNION ALL SELECT o_orderstatus, NULL, COUNT(*) FROM orders GROUP BY o_orderstatus UNION ALL SELECT NULL, o_orderpriority, COUNT(*) FROM orders GROUP BY o_orderpriority UNION ALL SELECT NULL, NULL, COUNT(*) FROM orders", "SELECT o_orderstatus AS a, o_orderpriority AS b, count(*) AS n FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)")
+q("xmltable", "oracle", "SELECT n.n_nationkey, x.ord, x.v, x.w FROM nation n, XMLTABLE('/r/i' PASSING '<r><i><v>' || n.n_nationkey || '</v></i><i><v>7</v><w>z</w></i></r>' COLUMNS ord FOR ORDINALITY, v NUMBER(5) PATH 'v', w VARCHAR2(5) PATH 'w' DEFAULT '-') x",
+  "SELECT n_nationkey, i AS ord, CAST(CASE i WHEN 1 THEN n_nationkey ELSE 7 END AS DECIMAL(5, 0)) AS v, CASE i WHEN 1 THEN '-' ELSE 'z' END AS w FROM nation, (VALUES (1), (2)) t(i)")
+q("months_between", "oracle", "SELECT o_orderkey, CAST(round(MONTHS_BETWEEN(DATE '2000-01-01', TRUNC(o_orderdate, 'MM')), 4) AS BINARY_DOUBLE) AS m, NEXT_DAY(TRUNC(o_orderdate), 'SUNDAY') AS d FROM orders", "SELECT o_orderkey, CAST(date_diff('month', CAST(o_orderdate AS DATE), DATE '2000-01-01') AS DOUBLE) AS m, CAST(CAST(o_orderdate AS DATE) + CAST(7 - dayofweek(o_orderdate) AS INTEGER) AS DATE) AS d FROM orders")
+q("null_groups", "pg", f"SELECT {NP} AS p, count(*) AS n, count({NP}) AS m, GROUPING({NP}) AS g FROM orders GROUP BY ROLLUP ({NP})", f"SELECT {NP} AS p, count(*) AS n, count({NP}) AS m, CAST(grouping({NP}) AS INT) AS g FROM orders GROUP BY ROLLUP ({NP})")
+q("time_functions", "mysql", "SELECT event_id, HOUR(ts) AS h, MINUTE(ts) AS m, SECOND(ts) AS s, QUARTER(ts) AS q, LAST_DAY(ts) AS l, MAKEDATE(YEAR(ts), 60) AS d, DAYOFYEAR(ts) AS y, TO_SECONDS(ts) > 0 AS t FROM events", "SELECT event_id, CAST(hour(ts) AS INT) AS h, CAST(minute(ts) AS INT) AS m, CAST(second(ts) AS INT) AS s, CAST(quarter(ts) AS INT) AS q, last_day(ts) AS l, CAST(make_date(CAST(year(ts) AS INT), 1, 1) + 59 AS DATE) AS d, CAST(dayofyear(ts) AS INT) AS y, 1 AS t FROM events")
+q("position_functions", "pg", "SELECT p_partkey, position('A' in p_type) AS a, strpos(p_type, 'S') AS b, overlay(p_brand placing 'XY' from 2 for 3) AS c, substring(p_type from 2 for 3) AS d, ascii(p_brand) AS e, chr(65 + mod(p_size, 26)) AS f, starts_with(p_type, 'S') AS g FROM part", "SELECT p_partkey, CAST(strpos(p_type, 'A') AS INT) AS a, CAST(strpos(p_type, 'S') AS INT) AS b, p_brand[1] || 'XY' || p_brand[5:] AS c, substr(p_type, 2, 3) AS d, ascii(p_brand) AS e, chr(65 + p_size % 26) AS f, starts_with(p_type, 'S') AS g FROM part")
 q("tpch_q1", "pg", "SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS sum_disc, round(sum(l_extendedprice * (1 - l_discount) * (1 + l_tax)), 2) AS sum_charge, round(avg(l_discount), 6) AS avg_disc, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02 00:00:00' GROUP BY l_returnflag, l_linestatus ORDER BY l_returnflag, l_linestatus")
 q("tpch_q3", "mysql", "SELECT l_orderkey, round(SUM(l_extendedprice * (1 - l_discount)), 2) AS revenue, o_orderdate FROM customer, orders, lineitem WHERE c_mktsegment = 'BUILDING' AND c_custkey = o_custkey AND l_orderkey = o_orderkey AND o_orderdate < TIMESTAMP '1996-03-15 00:00:00' GROUP BY l_orderkey, o_orderdate ORDER BY revenue DESC, o_orderdate, l_orderkey LIMIT 10",
   "SELECT l_orderkey, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, o_orderdate FROM customer, orders, lineitem WHERE c_mktsegment = 'BUILDING' AND c_custkey = o_custkey AND l_orderkey = o_orderkey AND o_orderdate < TIMESTAMP '1996-03-15' GROUP BY ALL ORDER BY revenue DESC, o_orderdate, l_orderkey LIMIT 10")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .readers import Table
+
 #: Types tried in this order when the declared one doesn't fit; text fits always.
 CASCADE = ["int", "double", "date", "timestamp_ntz", "string"]
 TRUE, FALSE = ("1", "true"), ("0", "false")
@@ -20,7 +22,7 @@ def readable(c: Column, t: str, values: list[str] = ()) -> Column:
     elif t in ("int", "bigint"):
         ok = c.rlike(r"^\s*[+-]?[0-9]+\s*$") & c.try_cast(t).isNotNull()
     elif t == "date":
-        ok = c.rlike(r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}$") & c.try_cast("date").isNotNull() | F.try_to_date(c, "dd-MMM-yy").isNotNull() if hasattr(F, "try_to_date") else c.rlike(r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}$") & c.try_cast("date").isNotNull()
+        ok = c.rlike(r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}$") & c.try_cast("date").isNotNull()
     else:
         ok = c.try_cast(t).isNotNull()
     return c.isNull() | F.coalesce(ok, F.lit(False))
@@ -80,3 +82,25 @@ def shorten(name: str, most: int = 30) -> str:
     total = sum(map(len, parts))
     sizes = [max(1, len(p) * room // total) for p in parts]
     return "_".join(p[:n] for p, n in zip(parts, sizes, strict=True))[:most]
+
+
+def catalog_frame(spark: SparkSession, tables: list[Table]) -> DataFrame:
+    """(table, column, type, nullable) of declared tables."""
+    return spark.createDataFrame([(t.name.lower(), c.name.lower(), c.type, c.nullable) for t in tables for c in t.columns], "table string, column string, type string, nullable boolean")
+
+
+def schema_difference(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Columns that only one catalog has, or that differ in type."""
+    x = a.select("table", "column", F.col("type").alias("left"))
+    y = b.select("table", "column", F.col("type").alias("right"))
+    return x.join(y, ["table", "column"], "full").filter(~F.col("left").eqNullSafe(F.col("right")))
+
+
+def type_census(catalog: DataFrame) -> DataFrame:
+    return catalog.groupBy("type").agg(F.count(F.lit(1)).alias("n"))
+
+
+def neighbours(spark: SparkSession, tables: list[Table]) -> DataFrame:
+    """(table, other) for tables that refer to each other, both ways."""
+    edges = spark.createDataFrame([(t.name, to) for t in tables for _, to, _ in t.foreign_keys], "table string, other string")
+    return edges.union(edges.select("other", "table")).distinct()

@@ -231,6 +231,8 @@ q("months_between", "oracle", "SELECT o_orderkey, CAST(round(MONTHS_BETWEEN(DATE
 q("null_groups", "pg", f"SELECT {NP} AS p, count(*) AS n, count({NP}) AS m, GROUPING({NP}) AS g FROM orders GROUP BY ROLLUP ({NP})", f"SELECT {NP} AS p, count(*) AS n, count({NP}) AS m, CAST(grouping({NP}) AS INT) AS g FROM orders GROUP BY ROLLUP ({NP})")
 q("time_functions", "mysql", "SELECT event_id, HOUR(ts) AS h, MINUTE(ts) AS m, SECOND(ts) AS s, QUARTER(ts) AS q, LAST_DAY(ts) AS l, MAKEDATE(YEAR(ts), 60) AS d, DAYOFYEAR(ts) AS y, TO_SECONDS(ts) > 0 AS t FROM events", "SELECT event_id, CAST(hour(ts) AS INT) AS h, CAST(minute(ts) AS INT) AS m, CAST(second(ts) AS INT) AS s, CAST(quarter(ts) AS INT) AS q, last_day(ts) AS l, CAST(make_date(CAST(year(ts) AS INT), 1, 1) + 59 AS DATE) AS d, CAST(dayofyear(ts) AS INT) AS y, 1 AS t FROM events")
 q("position_functions", "pg", "SELECT p_partkey, position('A' in p_type) AS a, strpos(p_type, 'S') AS b, overlay(p_brand placing 'XY' from 2 for 3) AS c, substring(p_type from 2 for 3) AS d, ascii(p_brand) AS e, chr(65 + mod(p_size, 26)) AS f, starts_with(p_type, 'S') AS g FROM part", "SELECT p_partkey, CAST(strpos(p_type, 'A') AS INT) AS a, CAST(strpos(p_type, 'S') AS INT) AS b, p_brand[1] || 'XY' || p_brand[5:] AS c, substr(p_type, 2, 3) AS d, ascii(p_brand) AS e, chr(65 + p_size % 26) AS f, starts_with(p_type, 'S') AS g FROM part")
+GR = "PARTITION BY o_orderstatus ORDER BY o_orderpriority GROUPS BETWEEN 1 PRECEDING AND 1 FOLLOWING"
+q("win_groups_sql", "pg", f"SELECT o_orderkey, count(*) OVER ({GR}) AS n, max(o_custkey) OVER ({GR}) AS m FROM orders o WHERE o.o_totalprice > 5000")
 q("tpch_q1", "pg", "SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS sum_disc, round(sum(l_extendedprice * (1 - l_discount) * (1 + l_tax)), 2) AS sum_charge, round(avg(l_discount), 6) AS avg_disc, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02 00:00:00' GROUP BY l_returnflag, l_linestatus ORDER BY l_returnflag, l_linestatus")
 q("tpch_q3", "mysql", "SELECT l_orderkey, round(SUM(l_extendedprice * (1 - l_discount)), 2) AS revenue, o_orderdate FROM customer, orders, lineitem WHERE c_mktsegment = 'BUILDING' AND c_custkey = o_custkey AND l_orderkey = o_orderkey AND o_orderdate < TIMESTAMP '1996-03-15 00:00:00' GROUP BY l_orderkey, o_orderdate ORDER BY revenue DESC, o_orderdate, l_orderkey LIMIT 10",
   "SELECT l_orderkey, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, o_orderdate FROM customer, orders, lineitem WHERE c_mktsegment = 'BUILDING' AND c_custkey = o_custkey AND l_orderkey = o_orderkey AND o_orderdate < TIMESTAMP '1996-03-15' GROUP BY ALL ORDER BY revenue DESC, o_orderdate, l_orderkey LIMIT 10")

@@ -250,3 +250,35 @@ def test_stream_gives_what_the_batch_gives(spark, sf):
             assert compare.mismatches(spark.table(f"out_{name}"), f(batch), tolerant=False) == 0
         finally:
             q.stop()
+
+
+# changes
+
+
+def test_changes(spark):
+    from tessella.plans.changes import execute
+
+    t = frame(spark, [(1, "a", 1.0), (2, "b", None), (3, None, 3.0)], "k int, s string, v double")
+    e = Engine(spark, "/nowhere", []).add("t", t).add("u", frame(spark, [(2, "B", 20.0), (9, "N", 90.0)], "k int, s string, v double"))
+    rows = lambda: sorted(tuple(r) for r in e.table("t").collect())
+    execute(e, "UPDATE t SET v = v + 1, s = 'x' WHERE v > 2", "pg")
+    assert rows() == [(1, "a", 1.0), (2, "b", None), (3, "x", 4.0)]
+    execute(e, "DELETE FROM t WHERE v = 1", "mysql")
+    assert rows() == [(2, "b", None), (3, "x", 4.0)]
+    execute(e, "INSERT INTO t (v, k) VALUES (5, 7), (NULL, 8)", "oracle")
+    assert rows()[2:] == [(7, None, 5.0), (8, None, None)]
+    execute(e, "MERGE INTO t d USING u n ON (d.k = n.k) WHEN MATCHED THEN UPDATE SET s = n.s, v = n.v WHEN NOT MATCHED THEN INSERT (k, s) VALUES (n.k, n.s)", "oracle")
+    assert rows() == [(2, "B", 20.0), (3, "x", 4.0), (7, None, 5.0), (8, None, None), (9, "N", None)]
+    execute(e, "MERGE INTO t USING (SELECT k FROM u) n ON t.k = n.k WHEN MATCHED AND t.v IS NULL THEN DELETE", "pg")
+    assert [r[0] for r in rows()] == [2, 3, 7, 8]
+    execute(e, "INSERT INTO t SELECT k, s, v FROM u ON DUPLICATE KEY UPDATE v = VALUES(v) + v", "mysql")
+    assert rows() == [(2, "B", 40.0), (3, "x", 4.0), (7, None, 5.0), (8, None, None), (9, "N", 90.0)]
+
+
+def test_catalogs(spark):
+    a = readers.parse_ddl("CREATE TABLE t (a INT, b TEXT, FOREIGN KEY (a) REFERENCES u (k))", "pg")
+    b = readers.parse_ddl("CREATE TABLE T (A BIGINT, c TEXT)", "pg")
+    x, y = (revision.catalog_frame(spark, [t]) for t in (a, b))
+    assert sorted((r["column"], r["left"], r["right"]) for r in revision.schema_difference(x, y).collect()) == [("a", "int", "bigint"), ("b", "string", None), ("c", None, "string")]
+    assert {r["type"]: r["n"] for r in revision.type_census(x).collect()} == {"int": 1, "string": 1}
+    assert sorted(map(tuple, revision.neighbours(spark, [a]).collect())) == [("t", "u"), ("u", "t")]

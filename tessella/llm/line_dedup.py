@@ -24,8 +24,8 @@ from . import common
 from .common import let
 
 MIN_WORDS = 5
-#: Lines that go on to step 3 find their texts by a broadcast of their places up to this many, by a shuffled join beyond.
-BROADCAST_LINES = 1_000_000
+#: Bits of the filter that lets lines through to the join with those of step 3; 64 to a broadcast row, so at most 131,072 rows.
+FILTER_BITS = 1 << 23
 
 
 def n_words(line: Column) -> Column:
@@ -127,6 +127,14 @@ def within_one_edit(a: Column, b: Column) -> Column:
     return F.when(F.size(a) == F.size(b), same).when(F.size(a) == F.size(b) + 1, one_out(a, b)).when(F.size(b) == F.size(a) + 1, one_out(b, a)).otherwise(False)
 
 
+def _likely(df: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """Rows of df whose key may be in wanted: all that are, and few others while wanted is small against FILTER_BITS."""
+    bit = F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
+    cut = lambda d: d.withColumn("_bit", bit).withColumn("_cell", F.floor(F.col("_bit") / 64).cast("int")).withColumn("_off", (F.col("_bit") % 64).cast("int"))
+    cells = cut(wanted.select(key)).groupBy("_cell").agg(F.bit_or(F.expr("shiftleft(1L, _off)")).alias("_bits"))
+    return cut(df).join(F.broadcast(cells), "_cell").filter("shiftright(_bits, _off) & 1 = 1").drop("_bit", "_cell", "_off", "_bits")
+
+
 def _dropped(docs: DataFrame) -> DataFrame:
     halves = half_keys(F.col("line"), F.col("n"))
     seen = common.stage(_exploded(docs).select("id", "t", "no", F.xxhash64("line").alias("h"), F.xxhash64("line", F.lit(1)).alias("g"), *[k.alias(name) for name, k in halves.items()]), "lines")
@@ -140,8 +148,8 @@ def _dropped(docs: DataFrame) -> DataFrame:
     each = lines.select("h", "g", "first", F.explode(entries).alias("e")).select("h", "g", "first", "e.half", "e.bit")
     met = each.groupBy("half").agg(F.min("h").alias("a"), F.max("h").alias("b")).filter("a < b").select("half")
     near = common.stage(each.join(met.hint("merge"), "half", "left_semi").groupBy("h", "g").agg(F.first("first").alias("first"), F.bit_or("bit").alias("flags")), "near-lines")
-    places = F.broadcast(near) if near.count() <= BROADCAST_LINES else near.hint("merge")
-    found = _exploded(docs).withColumn("first", _place("id", "t", "no")).join(places, "first").select("h", "g", "first", "flags", "n", "line").dropDuplicates(["h", "g"])
+    placed = _exploded(docs).withColumn("first", _place("id", "t", "no"))
+    found = _likely(placed, near, "first").join(near.hint("merge"), "first").select("h", "g", "first", "flags", "n", "line").dropDuplicates(["h", "g"])
     # numbers in the order of the lines' places
     texts = common.stage(found.orderBy("first").withColumn("ln", F.monotonically_increasing_id()), "near-texts")
     # 3. for each key, the earliest line of each kind

@@ -65,6 +65,36 @@ SELECT page_id, host, path, arg_max(rule, length(rule)) AS rule, coalesce(arg_ma
 FROM (SELECT s.*, c.rule, c.verdict, row_number() OVER () AS n FROM seen s LEFT JOIN cut c
   ON (s.host = c.rule_host OR ends_with(s.host, '.' || c.rule_host)) AND starts_with(s.path, c.rule_path))
 GROUP BY page_id, host, path""",
+    "op2_suffix_dedup": r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+windows AS (SELECT doc_id, p, hash(substr(h, 2 * p + 1, 100)) AS s FROM (SELECT doc_id, h, unnest(range(0, greatest(length(h) // 2 - 49, 0))) AS p FROM d)),
+firsts AS (SELECT s, min(doc_id) AS first FROM windows GROUP BY s HAVING min(doc_id) < max(doc_id)),
+hits AS (SELECT doc_id, p FROM windows JOIN firsts USING (s) WHERE first < doc_id),
+islands AS (SELECT doc_id, p, sum(CASE WHEN p - before <= 50 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY p) AS k
+  FROM (SELECT doc_id, p, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS before FROM hits)),
+runs AS (SELECT doc_id, k, min(p) AS a, max(p) + 50 AS b FROM islands GROUP BY doc_id, k),
+pieces AS (
+  SELECT doc_id, a, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS start, a AS stop FROM runs
+  UNION ALL SELECT doc_id, 1000000000, max(b), 1000000000 FROM runs GROUP BY doc_id),
+kept AS (SELECT doc_id, string_agg(substr(h, 2 * start + 1, 2 * (stop - start)), '' ORDER BY a) AS h FROM pieces JOIN d USING (doc_id) GROUP BY doc_id),
+counted AS (SELECT doc_id, CAST(sum(b - a) AS BIGINT) AS n_removed, count(*) AS n_spans FROM runs GROUP BY doc_id)
+SELECT d.doc_id, CAST(length(d.h) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept.h, d.h))) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN counted USING (doc_id)""",
+    "op5_line_dedup": r"""
+WITH cut AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents),
+every AS (SELECT doc_id, unnest(range(1, len(lines) + 1)) AS no, unnest(lines) AS line FROM cut),
+counting AS (SELECT doc_id, no, trim(line, ' ') AS x FROM every WHERE len(string_split(trim(line, ' '), ' ')) >= 5),
+lines AS (SELECT x, min({'d': doc_id, 'n': no}) AS first, string_split(x, ' ') AS w FROM counting GROUP BY x),
+variants AS (SELECT x, first, len(w) AS n, p, array_to_string(list_concat(w[1 : p - 1], w[p + 1 :]), ' ') AS v FROM (SELECT *, unnest(range(1, len(w) + 1)) AS p FROM lines)),
+near AS (
+  SELECT x FROM (SELECT x, first, min(first) OVER (PARTITION BY n, p, v) AS least FROM variants) WHERE least < first
+  UNION SELECT variants.x FROM variants JOIN lines ON variants.v = lines.x WHERE lines.first < variants.first
+  UNION SELECT lines.x FROM variants JOIN lines ON variants.v = lines.x WHERE variants.first < lines.first),
+gone AS (SELECT c.doc_id, c.no FROM counting c JOIN lines l USING (x) LEFT JOIN near USING (x) WHERE near.x IS NOT NULL OR l.first <> {'d': c.doc_id, 'n': c.no}),
+rest AS (SELECT e.doc_id, string_agg(e.line, chr(10) ORDER BY e.no) AS text FROM every e LEFT JOIN gone g ON g.doc_id = e.doc_id AND g.no = e.no WHERE g.no IS NULL GROUP BY e.doc_id),
+dropped AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT cut.doc_id, CAST(coalesce(len(lines), 0) AS BIGINT) AS n_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_dropped, sha256(coalesce(text, '')) AS kept_sha256
+FROM cut LEFT JOIN rest USING (doc_id) LEFT JOIN dropped USING (doc_id)""",
     "op6_ngram_jaccard_join": r"""
 WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
 sets AS (SELECT DISTINCT doc_id, hash(array_to_string(w[p : p + least(len(w), 3) - 1], ' ')) AS s

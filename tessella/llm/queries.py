@@ -67,7 +67,8 @@ FROM (SELECT s.*, c.rule, c.verdict, row_number() OVER () AS n FROM seen s LEFT
 GROUP BY page_id, host, path""",
     "op2_suffix_dedup": r"""
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
-windows AS (SELECT doc_id, p, hash(substr(h, 2 * p + 1, 100)) AS s FROM (SELECT doc_id, h, unnest(range(0, greatest(length(h) // 2 - 49, 0))) AS p FROM d)),
+chunks AS (SELECT doc_id, length(h) // 2 - 49 - 100 * k AS n, 100 * k AS base, substr(h, 200 * k + 1, 300) AS c FROM (SELECT doc_id, h, unnest(range(0, (length(h) // 2 - 49 + 99) // 100)) AS k FROM d)),
+windows AS (SELECT doc_id, base + i AS p, hash(substr(c, 2 * i + 1, 100)) AS s FROM (SELECT doc_id, base, c, unnest(range(0, least(n, 100))) AS i FROM chunks)),
 firsts AS (SELECT s, min(doc_id) AS first FROM windows GROUP BY s HAVING min(doc_id) < max(doc_id)),
 hits AS (SELECT doc_id, p FROM windows JOIN firsts USING (s) WHERE first < doc_id),
 islands AS (SELECT doc_id, p, sum(CASE WHEN p - before <= 50 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY p) AS k

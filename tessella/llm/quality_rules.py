@@ -131,34 +131,47 @@ def posterior(votes: tuple, good: float, rates: list[tuple[float, float]]) -> fl
     return 1 / (1 + math.exp(-odds)) if odds > -700 else 0.0
 
 
-def judge(docs: DataFrame, keep: list[str] | None = None, keep_from: float = KEEP_FROM) -> DataFrame:
-    """The columns `keep` of docs (all by default) with the struct _quality: FEATURES, base_failed, p_good, kept.
-
-    Features are worked out once, into a staged table, from which votes are counted and then judged. Each row
-    is judged alone, so repeated rows and null ids do no harm; a null or empty text fails the base rules. An
-    empty table gives an empty result. The name _quality must be free among the columns of docs.
-    """
-    keep = docs.columns if keep is None else keep
-    known = common.stage(docs.withColumn("_quality", features(F.col("text"))).select(*keep, "_quality"), "quality")
+def _fit(known: DataFrame) -> tuple[float, list[tuple[float, float]]]:
+    """Estimates from the votes on a table with the column _quality."""
     votes = rules(lambda name: F.col(f"_quality.{name}"))
     counted = known.groupBy(*[v.alias(name) for name, v in votes.items()]).agg(F.count(F.lit(1)).alias("n"))
     patterns = sorted((([r[name] for name in votes], r["n"]) for r in counted.collect()), key=str)  # 3 ** len(votes) at most
-    good, rates = estimate(patterns)
+    return estimate(patterns)
+
+
+def _judged(known: DataFrame, good: float, rates: list[tuple[float, float]], keep_from: float) -> DataFrame:
+    q = lambda name: F.col(f"_quality.{name}")
+    votes = rules(q)
     start, steps = log_odds(good, rates) if rates else (0.0, [(0.0, 0.0)] * len(votes))
     odds = F.lit(start)
     for v, (bad_step, good_step) in zip(votes.values(), steps, strict=True):
         odds = odds + F.when(v == 0, bad_step).when(v == 1, good_step).otherwise(0.0)
-    q = lambda name: F.col(f"_quality.{name}")
     failed = (q("n_words") < MIN_WORDS) | (100 * q("n_repeat_words") > MAX_REPEAT_PERCENT * q("n_words"))
     p_good = 1 / (1 + F.exp(-odds))
     return known.withColumn("_quality", F.struct(*[q(name).alias(name) for name in FEATURES], failed.alias("base_failed"), p_good.alias("p_good"), (~failed & (p_good >= keep_from)).alias("kept")))
 
 
+def judge(docs: DataFrame, keep: list[str], keep_from: float = KEEP_FROM) -> DataFrame:
+    """The columns `keep` of docs with the struct _quality: FEATURES, base_failed, p_good, kept.
+
+    Features are worked out once, into a staged table with the columns to keep, from which votes are counted and
+    then judged. Each row is judged alone, so repeated rows and null ids do no harm; a null or empty text fails
+    the base rules. An empty table gives an empty result. The name _quality must be free among the columns.
+    """
+    known = common.stage(docs.withColumn("_quality", features(F.col("text"))).select(*keep, "_quality"), "quality")
+    return _judged(known, *_fit(known), keep_from)
+
+
 def report(docs: DataFrame) -> DataFrame:
     out = judge(docs, ["doc_id"])
     return out.select("doc_id", *[F.col(f"_quality.{name}").alias(name) for name in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "p_good", "kept")])
 
 
-def kept(docs: DataFrame) -> DataFrame:
-    """The documents that the rules keep, with the columns of docs."""
-    return judge(docs).filter("_quality.kept").drop("_quality")
+def kept(docs: DataFrame, keep_from: float = KEEP_FROM) -> DataFrame:
+    """The documents that the rules keep, with the columns of docs.
+
+    Features are worked out twice, once for the estimates and once for the filter, so that no second copy of the
+    texts is written.
+    """
+    known = docs.withColumn("_quality", features(F.col("text")))
+    return _judged(known, *_fit(known.select("_quality")), keep_from).filter("_quality.kept").drop("_quality")

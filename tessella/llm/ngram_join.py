@@ -101,22 +101,44 @@ def part_keys(shingles: np.ndarray, percent: int) -> np.ndarray:
     return np.unique(np.concatenate(out))
 
 
-SETS = "doc long, n long, a long, b long, keys array<long>"
+def digest(shingles: np.ndarray) -> tuple[int, int]:
+    """Two sums by which equal sets are known."""
+    if not len(shingles):
+        return 0, 0
+    return int(mix(shingles).sum(dtype=U).view(np.int64)), int(mix(shingles ^ U(BASE)).sum(dtype=U).view(np.int64))
 
 
-def _sets(docs: DataFrame, n: int, percent: int) -> DataFrame:
+def _sets(docs: DataFrame, n: int) -> DataFrame:
+    """(doc, n, a, b): the number of shingles of each document and the digest of their set."""
+
     def run(batches):
         for batch in batches:
-            size, a, b, keys = [], [], [], []
+            size, a, b = [], [], []
             for s in shingle_sets(batch.column(1), n):
+                x, y = digest(s)
                 size.append(len(s))
-                a.append(int(mix(s).sum(dtype=U).view(np.int64)) if len(s) else 0)
-                b.append(int(mix(s ^ U(BASE)).sum(dtype=U).view(np.int64)) if len(s) else 0)
-                keys.append(part_keys(s, percent).view(np.int64))
-            lists = pa.ListArray.from_arrays(np.cumsum([0, *map(len, keys)], dtype=np.int32), pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), lists], names=["doc", "n", "a", "b", "keys"])
+                a.append(x)
+                b.append(y)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, pa.int64()) for c in (size, a, b)]], names=["doc", "n", "a", "b"])
+
+    return docs.mapInArrow(run, "doc long, n long, a long, b long")
+
+
+def _keys(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """(doc, key) rows; of documents with equal sets in a batch, only one sends its keys."""
+
+    def run(batches):
+        for batch in batches:
+            seen, ids, keys = set(), [], []
+            for doc, s in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1), n), strict=True):
+                if len(s) and (d := digest(s)) not in seen:
+                    seen.add(d)
+                    keys.append(part_keys(s, percent).view(np.int64))
+                    ids.append(np.full(len(keys[-1]), doc))
+            for at in range(0, len(ids), 256):
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x[at : at + 256])) for x in (ids, keys)], names=["doc", "key"])
 
-    return docs.mapInArrow(run, SETS)
+    return docs.mapInArrow(run, "doc long, key long")
 
 
 class Forest:
@@ -217,14 +239,16 @@ def links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray | None, pe
 def components(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
     """(doc, n_shingles, component) for each row of docs (doc_id, text); doc and component have LAST_ID for null."""
     named = docs.select(F.coalesce(F.col("doc_id"), F.lit(common.LAST_ID)).alias("doc"), F.col("text").cast("string").alias("text"))
-    seen = common.stage(_sets(named, n, percent), "shingle-sets")
-    classes = seen.filter("n > 0").groupBy("a", "b", "n").agg(F.min("doc").alias("rep"), F.min_by("keys", "doc").alias("keys"))
-    reps = common.stage(classes.select("a", "b", "n", "rep", "keys"), "shingle-classes")
-    # 2. chains through the documents of each key
-    keys = reps.select("rep", F.explode("keys").alias("key"))
-    chained = keys.select(F.col("rep").alias("b"), F.lag("rep").over(W.partitionBy("key").orderBy("rep")).alias("a")).filter("a IS NOT NULL AND a != b")
-    near = connected(chained)
-    near = common.stage(near, "neighbourhoods")
+    seen = common.stage(_sets(named, n), "shingle-sets")
+    reps = common.stage(seen.filter("n > 0").groupBy("a", "b", "n").agg(F.min("doc").alias("rep")), "shingle-classes")
+    # 2. chains through the documents of each key, between the classes that they belong to
+    by_key = _keys(named, n, percent).select(F.col("doc").alias("y"), F.lag("doc").over(W.partitionBy("key").orderBy("doc")).alias("x"))
+    chained = common.stage(by_key.filter("x IS NOT NULL AND x != y").distinct(), "chains")
+    common.release(docs.sparkSession)
+    of = seen.filter("n > 0").join(reps, ["a", "b", "n"]).select("doc", "rep")
+    edges = chained.join(of.select(F.col("doc").alias("x"), F.col("rep").alias("a")), "x").join(of.select(F.col("doc").alias("y"), F.col("rep").alias("b")), "y").select("a", "b")
+    near = common.stage(connected(edges), "neighbourhoods")
+    common.unstage(chained)
     sizes = near.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
     total = near.count()
     tasks = max(1, -(-total // block))

@@ -37,6 +37,8 @@ BLOCK = 1000
 RATIO = 1.5
 #: DivideSkip's weight of a lookup against a merge.
 MU = 0.0085
+#: Shingles are counted in so many buckets; those of buckets above the mean by so many standard deviations, and by so many, are common.
+BUCKET_BITS, COMMON_SIGMAS, COMMON_LEAST = 20, 10, 16
 #: Merges of up to this many entries go by a heap, larger ones by counting; both give the same counts.
 HEAP_ENTRIES = 512
 
@@ -81,19 +83,24 @@ def parts_of(c: int, percent: int) -> tuple[int, int]:
     return differ + 1 + spare, spare
 
 
-def part_keys(shingles: np.ndarray, percent: int) -> np.ndarray:
-    """Keys of which two sets of at least this similarity share one."""
+def part_keys(shingles: np.ndarray, percent: int, common_buckets: np.ndarray | None = None) -> np.ndarray:
+    """Keys of which two sets of at least this similarity share one.
+
+    Common shingles are left out of the parts: what is left of two sets differs no more than the sets do.
+    """
     size = len(shingles)
     if not size:
         return np.zeros(0, U)
+    if common_buckets is not None:
+        shingles = shingles[~common_buckets[shingles >> U(64 - BUCKET_BITS)]]
     # the larger set of a pair is of one of these classes
     classes = range(size_class(size), size_class(100 * size // percent) + 1)
     out = []
     for c in classes:
         parts, spare = parts_of(c, percent)
         at = ((shingles >> U(32)) * U(parts)) >> U(32)  # in order, as the shingles are
-        starts = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-        keys = np.add.reduceat(mix(shingles), starts)
+        starts = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])) if len(at) else np.zeros(0, np.int64)
+        keys = np.add.reduceat(mix(shingles), starts) if len(at) else np.zeros(0, U)
         out.append(mix(keys * U(BASE) + at[starts] * U(4096) + U(c)))
         if parts - len(starts) > spare:
             empty = np.setdiff1d(np.arange(parts, dtype=U), at[starts])
@@ -124,7 +131,37 @@ def _sets(docs: DataFrame, n: int) -> DataFrame:
     return docs.mapInArrow(run, "doc long, n long, a long, b long")
 
 
-def _keys(docs: DataFrame, n: int, percent: int) -> DataFrame:
+def _common(docs: DataFrame, n: int) -> np.ndarray:
+    """Buckets of shingles that stand in far more documents than a bucket does on average, such as those of passages that many share.
+
+    Any such choice leaves the join exact; this one keeps shared passages from chaining documents that have
+    nothing else in common. Counts are added up by parts; 2 ** BUCKET_BITS numbers come to the driver.
+    """
+    parts, each = 64, (1 << BUCKET_BITS) // 64
+
+    def count(batches):
+        counts = np.zeros(1 << BUCKET_BITS, dtype=np.int64)
+        for batch in batches:
+            for s in shingle_sets(batch.column(1), n):
+                counts[s >> U(64 - BUCKET_BITS)] += 1
+        if counts.any():
+            yield pa.RecordBatch.from_arrays([pa.array(range(parts), pa.int32()), pa.array([counts[p * each : (p + 1) * each].astype("<i4").tobytes() for p in range(parts)], pa.binary())], names=["part", "counts"])
+
+    def add(key, batches):
+        total = np.zeros(each, dtype=np.int64)
+        for body in batches.column("counts"):
+            total += np.frombuffer(body.as_py(), "<i4")
+        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([total.astype("<i8").tobytes()], pa.binary())})
+
+    rows = docs.mapInArrow(count, "part int, counts binary").groupBy("part").applyInArrow(add, "part int, counts binary").collect()
+    counts = np.zeros(1 << BUCKET_BITS, dtype=np.int64)
+    for r in rows:
+        counts[r["part"] * each : (r["part"] + 1) * each] = np.frombuffer(r["counts"], "<i8")
+    mean = counts.mean()
+    return counts > mean + COMMON_SIGMAS * math.sqrt(mean) + COMMON_LEAST
+
+
+def _keys(docs: DataFrame, n: int, percent: int, common_buckets) -> DataFrame:
     """(doc, key) rows; of documents with equal sets in a batch, only one sends its keys."""
 
     def run(batches):
@@ -133,7 +170,7 @@ def _keys(docs: DataFrame, n: int, percent: int) -> DataFrame:
             for doc, s in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1), n), strict=True):
                 if len(s) and (d := digest(s)) not in seen:
                     seen.add(d)
-                    keys.append(part_keys(s, percent).view(np.int64))
+                    keys.append(part_keys(s, percent, common_buckets.value).view(np.int64))
                     ids.append(np.full(len(keys[-1]), doc))
             for at in range(0, len(ids), 256):
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x[at : at + 256])) for x in (ids, keys)], names=["doc", "key"])
@@ -242,23 +279,31 @@ def components(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, block:
     seen = common.stage(_sets(named, n), "shingle-sets")
     reps = common.stage(seen.filter("n > 0").groupBy("a", "b", "n").agg(F.min("doc").alias("rep")), "shingle-classes")
     # 2. chains through the documents of each key, between the classes that they belong to
-    by_key = _keys(named, n, percent).select(F.col("doc").alias("y"), F.lag("doc").over(W.partitionBy("key").orderBy("doc")).alias("x"))
+    common_buckets = docs.sparkSession.sparkContext.broadcast(_common(named, n))  # 2 ** BUCKET_BITS truth values
+    by_key = _keys(named, n, percent, common_buckets).select(F.col("doc").alias("y"), F.lag("doc").over(W.partitionBy("key").orderBy("doc")).alias("x"))
     chained = common.stage(by_key.filter("x IS NOT NULL AND x != y").distinct(), "chains")
     common.release(docs.sparkSession)
     of = seen.filter("n > 0").join(reps, ["a", "b", "n"]).select("doc", "rep")
     edges = chained.join(of.select(F.col("doc").alias("x"), F.col("rep").alias("a")), "x").join(of.select(F.col("doc").alias("y"), F.col("rep").alias("b")), "y").select("a", "b")
     near = common.stage(connected(edges), "neighbourhoods")
     common.unstage(chained)
-    sizes = near.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
     total = near.count()
     tasks = max(1, -(-total // block))
-    cuts = F.ceil(F.col("size") / block).cast("int")
+    # a large neighbourhood is cut into blocks by set size, and then by hash: similar sets are of one size class or of neighbouring ones
+    step = math.log(max(100 / percent, 1.05))
+    members = near.join(reps.select(F.col("rep").alias("node"), F.floor(F.log("n") / step + 1e-9).cast("int").alias("k")).distinct(), "node").withColumnRenamed("node", "doc")
+    cells = members.groupBy("component", "k").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("cuts"), F.count(F.lit(1)).alias("m"))
+    sizes = cells.groupBy("component").agg(F.sum("m").alias("size"))
+    small = members.join(sizes, "component").filter(F.col("size") <= block)
+    bins = small.select("doc", "component", F.lit(0).alias("own"), F.lit(-1).cast("long").alias("hood"), F.pmod(F.xxhash64("component"), F.lit(tasks)).cast("int").alias("i"), F.lit(-1).alias("j"))
+    code = lambda k, at: k * F.lit(100_000) + at
+    near_cells = cells.select("component", F.explode(F.array(F.col("k") - 1, F.col("k"), F.col("k") + 1)).alias("k"), F.col("k").alias("other"), F.col("cuts").alias("other_cuts"))
+    large = members.join(sizes, "component").filter(F.col("size") > block).join(cells.select("component", "k", "cuts"), ["component", "k"])
     own = F.pmod(F.xxhash64("doc"), F.col("cuts")).cast("int")
-    # a document of a large neighbourhood goes to the pairs of blocks that its block is in
-    pairs = F.when(F.col("cuts") == 1, F.array(F.struct(F.lit(-1).cast("long").alias("hood"), F.pmod(F.xxhash64("component"), F.lit(tasks)).cast("int").alias("i"), F.lit(-1).alias("j")))).otherwise(
-        F.transform(F.sequence(F.lit(0), F.col("cuts") - 1), lambda x: F.struct(F.col("component").alias("hood"), F.least(x, F.col("own")).alias("i"), F.greatest(x, F.col("own")).alias("j")))
-    )
-    dealt = near.join(sizes, "component").select(F.col("node").alias("doc"), "component", cuts.alias("cuts")).withColumn("own", own).withColumn("task", F.explode(pairs)).select("doc", "component", "own", "task.*")
+    placed = large.withColumn("own", code(F.col("k"), own)).join(near_cells, ["component", "k"])
+    blocks = placed.select("doc", "component", "own", F.explode(F.transform(F.sequence(F.lit(0), F.col("other_cuts") - 1), lambda x: code(F.col("other"), x))).alias("with"))
+    blocks = blocks.select("doc", "component", "own", F.col("component").alias("hood"), F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"))
+    dealt = common.stage(bins.unionByName(blocks), "dealt")
     # a class is represented by one document of its smallest id; repeated rows with that id and other sets are told apart by the set
     # the same join at every size; one that is broadcast for small inputs only would hide what large ones cost
     texts = named.join(dealt.hint("merge"), "doc")

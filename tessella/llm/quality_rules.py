@@ -2,7 +2,7 @@
 
 Each rule votes good (1), bad (0) or abstains (null). Expectation-maximisation over the counts of vote
 patterns estimates how often each rule votes which way on good and on bad documents, and a document's
-posterior probability of being good decides. Three votes and len(RULES) rules bound the number of patterns,
+posterior probability of being good decides; only the rule VETO rejects alone. Three votes and len(RULES) rules bound the number of patterns,
 so what reaches the driver doesn't grow with the input. Only DataFrame functions touch the documents.
 """
 
@@ -21,10 +21,14 @@ MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 SYMBOLS = "#*$%&|<>"
 ROUNDS = 60
-#: A rule's rates are kept within these bounds: rules are written to be wrong on few good documents, so one bad vote weighs much, and no class swallows all documents.
-BAD_ON_GOOD, BAD_ON_BAD = (0.0002, 0.002), (0.20, 0.98)
+#: A rule's rates are kept within these bounds, so that no class swallows all documents.
+BAD_ON_GOOD, BAD_ON_BAD = (0.0005, 0.10), (0.20, 0.98)
 PRIOR_GOOD = (0.50, 0.99)
 KEEP_FROM = 0.5
+#: The rules in the order of their votes.
+RULES = ["length", "word_width", "symbols", "digits", "repeated_words", "repeated_lines", "fresh_words"]
+#: No other rule sees what this one does, so agreement can't tell how often it is wrong: its bad vote rejects. README has the figures.
+VETO, VETO_ON_GOOD = "symbols", 1e-15
 
 FEATURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_distinct_words", "n_digits"]
 
@@ -100,8 +104,13 @@ def rules(f) -> dict[str, Column]:
 
 
 def estimate(patterns: list[tuple[tuple, int]], rounds: int = ROUNDS) -> tuple[float, list[tuple[float, float]]]:
-    """(share of good documents, for each rule the rates of a bad vote on good and on bad documents), by expectation-maximisation."""
+    """(share of good documents, for each rule the rates of a bad vote on good and on bad documents), by expectation-maximisation.
+
+    Patterns of the seven RULES have a veto; patterns of any other number of rules have none.
+    """
     n_rules = len(patterns[0][0]) if patterns else 0
+    veto = RULES.index(VETO) if n_rules == len(RULES) else None
+    patterns = [(votes, count) for votes, count in patterns if veto is None or votes[veto] != 0]  # what is rejected anyway tells nothing of the other rules
     clamp = lambda x, to: min(max(x, to[0]), to[1])
     good, rates = 0.9, [(0.02, 0.5)] * n_rules
     for _ in range(rounds if patterns else 0):
@@ -117,6 +126,8 @@ def estimate(patterns: list[tuple[tuple, int]], rounds: int = ROUNDS) -> tuple[f
                         s[side][1] += count * share * (1 - v)
         good = clamp(total_good / total, PRIOR_GOOD)
         rates = [(clamp(g[1] / g[0], BAD_ON_GOOD), clamp(b[1] / b[0], BAD_ON_BAD)) for g, b in sums]
+    if veto is not None:
+        rates[veto] = (VETO_ON_GOOD, rates[veto][1])
     return good, rates
 
 

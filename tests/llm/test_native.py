@@ -72,6 +72,20 @@ def test_quality_agrees_with_labels(spark):
     assert sum(r["kept"] for r in good if not r["base_failed"]) >= 0.97 * sum(not r["base_failed"] for r in good)
 
 
+def test_quality_one_bad_vote_decides_only_as_a_veto(spark):
+    """Labelled good documents that a single rule other than the veto votes down stay; what the veto votes down goes."""
+    d = "/root/testdata/sf0.1"
+    judged = quality_rules.judge(spark.read.parquet(f"{d}/documents.parquet"), ["doc_id"])
+    votes = quality_rules.rules(lambda name: judged["_quality"][name])
+    assert list(votes) == quality_rules.RULES
+    out = judged.select("doc_id", "_quality.kept", "_quality.base_failed", *[v.alias(k) for k, v in votes.items()]).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id", "left").collect()
+    down = [r for r in out if not r["base_failed"] and any(r[k] == 0 for k in votes)]
+    good, veto = [r for r in down if r["quality"] == 1], [r for r in down if r[quality_rules.VETO] == 0]
+    print(len(down), sum(r["kept"] for r in down), len(good), len(veto), sum(r["quality"] == 0 for r in veto))
+    assert good and all(r["kept"] for r in good)
+    assert veto and not any(r["kept"] or r["quality"] == 1 for r in veto)
+
+
 def one_edit(a, b):
     if len(a) == len(b):
         return sum(x != y for x, y in zip(a, b)) <= 1

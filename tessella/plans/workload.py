@@ -20,7 +20,7 @@ NP = "nullif(o_orderpriority, '5-LOW')"
 q("filter_3vl", "pg", f"SELECT o_orderkey FROM orders WHERE NOT ({NP} = '1-URGENT') OR o_totalprice > 400000")
 q("null_safe_eq", "mysql", f"SELECT o_orderkey, {NP} <=> NULL AS is_low, {NP} <=> '1-URGENT' AS is_urgent FROM orders",
   f"SELECT o_orderkey, CAST({NP} IS NOT DISTINCT FROM NULL AS INT) AS is_low, CAST({NP} IS NOT DISTINCT FROM '1-URGENT' AS INT) AS is_urgent FROM orders")
-q("is_distinct", "pg", f"SELECT o_orderkey FROM orders WHERE {NP} IS DISTINCT FROM '2-HIGH' AND o_custkey < 100")
+q("is_distinct", "pg", f"SELECT o_orderkey FROM orders WHERE {NP} IS DISTINCT FROM '2-HIGH'")
 q("is_predicates", "pg", "SELECT o_orderkey, (o_totalprice > 1000) IS TRUE AS a, (nullif(o_orderstatus, 'O') = 'F') IS UNKNOWN AS b, nullif(o_orderstatus, 'F') ISNULL AS c, nullif(o_orderstatus, 'F') NOTNULL AS d FROM orders",
   "SELECT o_orderkey, o_totalprice > 1000 AS a, (nullif(o_orderstatus, 'O') = 'F') IS NULL AS b, nullif(o_orderstatus, 'F') IS NULL AS c, nullif(o_orderstatus, 'F') IS NOT NULL AS d FROM orders")
 q("in_list", "pg", "SELECT p_partkey, p_size FROM part WHERE p_size IN (1, 5, 9) AND p_brand NOT IN ('Brand#11', 'Brand#12')")
@@ -54,7 +54,7 @@ q("distinct_on", "pg", "SELECT DISTINCT ON (o_custkey) o_custkey, o_orderkey, o_
 q("join_inner", "pg", "SELECT o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_mktsegment = 'BUILDING'")
 q("join_left", "mysql", "SELECT c_custkey, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_totalprice > 250000 GROUP BY c_custkey")
 q("join_right", "pg", "SELECT o_orderkey, s_name FROM supplier RIGHT OUTER JOIN orders ON s_suppkey = o_orderkey")
-q("join_full", "pg", "SELECT c_custkey, s_suppkey FROM (SELECT * FROM customer WHERE c_custkey < 120) c FULL JOIN (SELECT * FROM supplier WHERE s_suppkey > 50) s ON c_custkey = s_suppkey")
+q("join_full", "pg", "SELECT c_custkey, s_suppkey FROM customer c FULL JOIN supplier s ON c_custkey = s_suppkey")
 q("join_cross", "pg", "SELECT r_name, n_name FROM region CROSS JOIN nation")
 q("join_natural", "oracle", "SELECT * FROM (SELECT n_regionkey AS k, n_name FROM nation) NATURAL JOIN (SELECT r_regionkey AS k, r_name FROM region)", "SELECT * FROM (SELECT n_regionkey AS k, n_name FROM nation) a NATURAL JOIN (SELECT r_regionkey AS k, r_name FROM region) b")
 q("join_using", "pg", "SELECT k, n_name, r_name FROM (SELECT n_regionkey AS k, n_name FROM nation) a JOIN (SELECT r_regionkey AS k, r_name FROM region) b USING (k)")
@@ -62,8 +62,8 @@ q("join_theta", "pg", "SELECT a.n_nationkey AS a, b.n_nationkey AS b FROM nation
 q("join_comma", "oracle", "SELECT n_name, r_name FROM nation, region WHERE n_regionkey = r_regionkey")
 q("join_straight", "mysql", "SELECT n_name, r_name FROM nation STRAIGHT_JOIN region ON n_regionkey = r_regionkey", "SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey")
 q("join_self", "pg", "SELECT a.c_custkey AS x, b.c_custkey AS y FROM customer a JOIN customer b ON a.c_nationkey = b.c_nationkey AND a.c_custkey + 25 = b.c_custkey")
-q("outer_join_sign", "oracle", "SELECT c.c_custkey, o.o_orderkey FROM customer c, orders o WHERE c.c_custkey = o.o_custkey(+) AND o.o_totalprice(+) > 300000 AND c.c_custkey < 500",
-  "SELECT c.c_custkey, o.o_orderkey FROM customer c LEFT JOIN orders o ON c.c_custkey = o.o_custkey AND o.o_totalprice > 300000 WHERE c.c_custkey < 500")
+q("outer_join_sign", "oracle", "SELECT c.c_custkey, o.o_orderkey FROM customer c, orders o WHERE c.c_custkey = o.o_custkey(+) AND o.o_totalprice(+) > 300000",
+  "SELECT c.c_custkey, o.o_orderkey FROM customer c LEFT JOIN orders o ON c.c_custkey = o.o_custkey AND o.o_totalprice > 300000")
 q("lateral_topn", "pg", "SELECT c.c_custkey, t.o_orderkey FROM customer c, LATERAL (SELECT o_orderkey FROM orders o WHERE o.o_custkey = c.c_custkey ORDER BY o_totalprice DESC, o_orderkey LIMIT 3) t")
 q("cross_apply", "oracle", "SELECT c.c_custkey, t.s FROM customer c CROSS APPLY (SELECT sum(o.o_totalprice) AS s FROM orders o WHERE o.o_custkey = c.c_custkey HAVING count(*) > 5) t",
   "SELECT o_custkey AS c_custkey, sum(o_totalprice) AS s FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer) GROUP BY o_custkey HAVING count(*) > 5")
@@ -79,10 +79,10 @@ q("generate_series_rel", "pg", "SELECT r_regionkey, g.x FROM region, generate_se
 q("json_table_props", "mysql", "SELECT e.event_id, j.k FROM events e, JSON_TABLE(e.props, '$' COLUMNS (k INT PATH '$.k')) AS j", "SELECT event_id, CAST(json_extract(props, '$.k') AS INT) AS k FROM events")
 q("json_table_nested", "oracle", """SELECT j.ord, j.a, j.b FROM region r, JSON_TABLE('[{"a":1,"b":[7,8]},{"a":2,"b":[]}]', '$[*]' COLUMNS (ord FOR ORDINALITY, a NUMBER(5) PATH '$.a', NESTED PATH '$.b[*]' COLUMNS (b NUMBER(5) PATH '$'))) j WHERE r_regionkey = 1""",
   "SELECT ord, CAST(a AS DECIMAL(5, 0)) AS a, CAST(b AS DECIMAL(5, 0)) AS b FROM (VALUES (1, 1, 7), (1, 1, 8), (2, 2, NULL)) v(ord, a, b)")
-q("pivot_status", "oracle", "SELECT * FROM (SELECT o_custkey, o_orderstatus, o_totalprice FROM orders WHERE o_custkey < 200) PIVOT (count(o_totalprice) FOR o_orderstatus IN ('F' AS f, 'O' AS o, 'P' AS p))",
-  "SELECT o_custkey, nullif(count(*) FILTER (o_orderstatus = 'F'), 0) AS f, nullif(count(*) FILTER (o_orderstatus = 'O'), 0) AS o, nullif(count(*) FILTER (o_orderstatus = 'P'), 0) AS p FROM orders WHERE o_custkey < 200 GROUP BY o_custkey")
-q("unpivot_prices", "oracle", "SELECT * FROM (SELECT l_orderkey, l_linenumber, l_partkey, l_discount, l_tax FROM lineitem WHERE l_orderkey < 100) UNPIVOT (val FOR what IN (l_discount AS 'discount', l_tax AS 'tax'))",
-  "SELECT l_orderkey, l_linenumber, l_partkey, 'discount' AS what, l_discount AS val FROM lineitem WHERE l_orderkey < 100 UNION ALL SELECT l_orderkey, l_linenumber, l_partkey, 'tax', l_tax FROM lineitem WHERE l_orderkey < 100")
+q("pivot_status", "oracle", "SELECT * FROM (SELECT o_custkey, o_orderstatus, o_totalprice FROM orders) PIVOT (count(o_totalprice) FOR o_orderstatus IN ('F' AS f, 'O' AS o, 'P' AS p))",
+  "SELECT o_custkey, nullif(count(*) FILTER (o_orderstatus = 'F'), 0) AS f, nullif(count(*) FILTER (o_orderstatus = 'O'), 0) AS o, nullif(count(*) FILTER (o_orderstatus = 'P'), 0) AS p FROM orders GROUP BY o_custkey")
+q("unpivot_prices", "oracle", "SELECT * FROM (SELECT l_orderkey, l_linenumber, l_partkey, l_discount, l_tax FROM lineitem) UNPIVOT (val FOR what IN (l_discount AS 'discount', l_tax AS 'tax'))",
+  "SELECT l_orderkey, l_linenumber, l_partkey, 'discount' AS what, l_discount AS val FROM lineitem UNION ALL SELECT l_orderkey, l_linenumber, l_partkey, 'tax', l_tax FROM lineitem")
 q("dual_table", "oracle", "SELECT 1 AS one, 'a' || NULL || 'b' AS ab FROM dual", "SELECT 1 AS one, 'ab' AS ab")
 TREE = "SELECT p_partkey AS id, CASE WHEN p_partkey > 0 THEN p_partkey DIV 3 END AS parent, p_brand FROM part WHERE p_partkey < 200"
 TREE_D = "SELECT p_partkey AS id, CASE WHEN p_partkey > 0 THEN p_partkey // 3 END AS parent, p_brand FROM part WHERE p_partkey < 200"
@@ -101,7 +101,7 @@ q("cte_tree", "mysql", f"WITH RECURSIVE t AS ({TREE}), h (id, lvl) AS (SELECT id
 q("cte_cycle", "pg", "WITH RECURSIVE g (a) AS (SELECT n_nationkey FROM nation WHERE n_nationkey = 3 UNION ALL SELECT mod(a + 7, 25) FROM g) CYCLE a SET is_cycle USING path SELECT a, is_cycle FROM g",
   "SELECT CAST((3 + 7 * i) % 25 AS INT) AS a, i = 25 AS is_cycle FROM range(26) t(i)")
 for name, op in (("union_distinct", "UNION"), ("union_all", "UNION ALL"), ("intersect_distinct", "INTERSECT"), ("intersect_all", "INTERSECT ALL"), ("except_distinct", "EXCEPT"), ("except_all", "EXCEPT ALL")):
-    q(name, "pg", f"SELECT c_nationkey AS k FROM customer WHERE c_custkey < 300 {op} SELECT s_nationkey FROM supplier WHERE s_suppkey < 40")
+    q(name, "pg", f"SELECT c_nationkey AS k FROM customer {op} SELECT s_nationkey FROM supplier")
 q("minus_oracle", "oracle", "SELECT c_nationkey AS k FROM customer MINUS SELECT s_nationkey FROM supplier", "SELECT c_nationkey AS k FROM customer EXCEPT SELECT s_nationkey FROM supplier")
 q("setop_precedence_pg", "pg", "SELECT 1 AS x UNION SELECT 2 INTERSECT SELECT 3", "SELECT 1 AS x")
 q("setop_precedence_oracle", "oracle", "SELECT 1 AS x FROM dual UNION SELECT 2 FROM dual INTERSECT SELECT 2 FROM dual", "SELECT 2 AS x")
@@ -219,8 +219,8 @@ q("array_ops", "pg", "SELECT n_nationkey, (ARRAY[1, n_nationkey, 3])[2] AS a, ar
 q("geo_point_distance", "mysql", "SELECT n_nationkey, round(ST_DISTANCE(POINT(n_nationkey, n_regionkey), POINT(3, 4)), 6) AS d, ST_X(POINT(n_nationkey, 2)) AS x FROM nation", "SELECT n_nationkey, round(sqrt(pow(n_nationkey - 3, 2) + pow(n_regionkey - 4, 2)), 6) AS d, CAST(n_nationkey AS DOUBLE) AS x FROM nation")
 q("xml_funcs", "pg", "SELECT n_nationkey, xmlelement(name_, n_name) AS a, xmlcomment(n_name) AS b FROM nation", "SELECT n_nationkey, '<name_>' || n_name || '</name_>' AS a, '<!--' || n_name || '-->' AS b FROM nation")
 q("collate_ci", "mysql", "SELECT n_nationkey FROM nation WHERE n_name COLLATE utf8mb4_general_ci = lower(n_name)", "SELECT n_nationkey FROM nation")
-q("json_mutation", "mysql", "SELECT event_id, JSON_SET(props, '$.k', 1, '$.z', 'y') AS a, JSON_REMOVE(props, '$.k') AS b, JSON_MERGE_PATCH(props, '{\"q\": [1, 2]}') AS c, JSON_DEPTH(props) AS d FROM events WHERE event_id < 500",
-  """SELECT event_id, '{"k": 1, "z": "y"}' AS a, '{}' AS b, '{"k": ' || (props->>'$.k') || ', "q": [1, 2]}' AS c, 2 AS d FROM events WHERE event_id < 500""")
+q("json_mutation", "mysql", "SELECT event_id, JSON_SET(props, '$.k', 1, '$.z', 'y') AS a, JSON_REMOVE(props, '$.k') AS b, JSON_MERGE_PATCH(props, '{\"q\": [1, 2]}') AS c, JSON_DEPTH(props) AS d FROM events",
+  """SELECT event_id, '{"k": 1, "z": "y"}' AS a, '{}' AS b, '{"k": ' || (props->>'$.k') || ', "q": [1, 2]}' AS c, 2 AS d FROM events""")
 q("geo_polygons", "mysql", "SELECT n_nationkey, ST_AREA(ST_GEOMFROMTEXT(CONCAT('POLYGON((0 0,', n_nationkey + 1, ' 0,', n_nationkey + 1, ' 2,0 2,0 0))'))) AS a, MBRCONTAINS('POLYGON((0 0,10 0,10 10,0 10,0 0))', CONCAT('POINT(', n_nationkey, ' 5)')) AS c, ST_ASTEXT(ST_CENTROID('POLYGON((0 0,4 0,4 2,0 2,0 0))')) AS m, ST_LENGTH('LINESTRING(0 0,3 4)') AS l FROM nation",
   "SELECT n_nationkey, CAST(2 * (n_nationkey + 1) AS DOUBLE) AS a, CAST(n_nationkey <= 10 AS DOUBLE) AS c, 'POINT(2 1)' AS m, CAST(5 AS DOUBLE) AS l FROM nation")
 q("loose_group_by", "mysql", "SELECT c_custkey, c_name, UPPER(c_mktsegment) AS seg, COUNT(*) AS n FROM customer JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey", "SELECT c_custkey, any_value(c_name) AS c_name, any_value(upper(c_mktsegment)) AS seg, count(*) AS n FROM customer JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey")

@@ -84,14 +84,14 @@ q("pivot_status", "oracle", "SELECT * FROM (SELECT o_custkey, o_orderstatus, o_t
 q("unpivot_prices", "oracle", "SELECT * FROM (SELECT l_orderkey, l_linenumber, l_partkey, l_discount, l_tax FROM lineitem) UNPIVOT (val FOR what IN (l_discount AS 'discount', l_tax AS 'tax'))",
   "SELECT l_orderkey, l_linenumber, l_partkey, 'discount' AS what, l_discount AS val FROM lineitem UNION ALL SELECT l_orderkey, l_linenumber, l_partkey, 'tax', l_tax FROM lineitem")
 q("dual_table", "oracle", "SELECT 1 AS one, 'a' || NULL || 'b' AS ab FROM dual", "SELECT 1 AS one, 'ab' AS ab")
-TREE = "SELECT p_partkey AS id, CASE WHEN p_partkey > 0 THEN p_partkey DIV 3 END AS parent, p_brand FROM part WHERE p_partkey < 200"
-TREE_D = "SELECT p_partkey AS id, CASE WHEN p_partkey > 0 THEN p_partkey // 3 END AS parent, p_brand FROM part WHERE p_partkey < 200"
-q("connect_by", "oracle", "SELECT id, LEVEL AS lvl, CONNECT_BY_ROOT id AS root, SYS_CONNECT_BY_PATH(id, '/') AS path, PRIOR id AS up, CONNECT_BY_ISLEAF AS leaf FROM (SELECT p_partkey AS id, CASE WHEN p_partkey > 0 THEN floor(p_partkey / 3) END AS parent FROM part WHERE p_partkey < 200) START WITH parent IS NULL CONNECT BY PRIOR id = parent",
+TREE = "SELECT p_partkey AS id, CASE WHEN p_partkey > 0 THEN p_partkey DIV 3 END AS parent, p_brand FROM part"
+TREE_D = "SELECT p_partkey AS id, CASE WHEN p_partkey > 0 THEN p_partkey // 3 END AS parent, p_brand FROM part"
+q("connect_by", "oracle", "SELECT id, LEVEL AS lvl, CONNECT_BY_ROOT id AS root, SYS_CONNECT_BY_PATH(id, '/') AS path, PRIOR id AS up, CONNECT_BY_ISLEAF AS leaf FROM (SELECT p_partkey AS id, CASE WHEN p_partkey > 0 THEN floor(p_partkey / 3) END AS parent FROM part) START WITH parent IS NULL CONNECT BY PRIOR id = parent",
   f"WITH RECURSIVE t AS ({TREE_D}), h AS (SELECT id, 1 AS lvl, id AS root, '/' || id AS path, CAST(NULL AS BIGINT) AS up FROM t WHERE parent IS NULL UNION ALL SELECT t.id, lvl + 1, root, path || '/' || t.id, h.id FROM t JOIN h ON t.parent = h.id) SELECT *, CAST(NOT EXISTS (SELECT 1 FROM t WHERE t.parent = h.id) AS INT) AS leaf FROM h")
 q("connect_by_nocycle", "oracle", "SELECT n_nationkey, LEVEL AS lvl FROM nation START WITH n_nationkey = 0 CONNECT BY NOCYCLE PRIOR n_nationkey = mod(n_nationkey + 24, 25) AND LEVEL <= 30",
   "SELECT CAST(n_nationkey AS INT) AS n_nationkey, CAST(n_nationkey + 1 AS INT) AS lvl FROM nation")
-q("siblings_order", "oracle", "SELECT id, LEVEL AS lvl FROM (SELECT p_partkey AS id, CASE WHEN p_partkey > 0 THEN floor(p_partkey / 3) END AS parent FROM part WHERE p_partkey < 60) START WITH id = 1 CONNECT BY PRIOR id = parent ORDER SIBLINGS BY id",
-  "WITH RECURSIVE t AS (SELECT p_partkey AS id, p_partkey // 3 AS parent FROM part WHERE p_partkey < 60 AND p_partkey > 0), h AS (SELECT id, 1 AS lvl FROM t WHERE id = 1 UNION ALL SELECT t.id, lvl + 1 FROM t JOIN h ON t.parent = h.id) SELECT * FROM h")
+q("siblings_order", "oracle", "SELECT id, LEVEL AS lvl FROM (SELECT p_partkey AS id, CASE WHEN p_partkey > 0 THEN floor(p_partkey / 3) END AS parent FROM part) START WITH id = 1 CONNECT BY PRIOR id = parent ORDER SIBLINGS BY id",
+  "WITH RECURSIVE t AS (SELECT p_partkey AS id, p_partkey // 3 AS parent FROM part WHERE p_partkey > 0), h AS (SELECT id, 1 AS lvl FROM t WHERE id = 1 UNION ALL SELECT t.id, lvl + 1 FROM t JOIN h ON t.parent = h.id) SELECT * FROM h")
 
 # CTEs and set operations
 q("cte_plain", "pg", "WITH big AS MATERIALIZED (SELECT * FROM orders WHERE o_totalprice > 300000), c (k, n) AS (SELECT o_custkey, count(*) FROM big GROUP BY o_custkey) SELECT k, n FROM c WHERE n > 1")

@@ -14,6 +14,7 @@ CUSTOMERS = [(k, f"c{k}", k % 7 if k < 400 else k % 11, float(k)) for k in range
 SUPPLIERS = [(k if k < 60 else 5000 + k, k % 13) for k in range(90)]
 ORDERS = [(k, k * 7 % (N - 50), STATES[k % 5 % 3], PRIORITIES[k % 7 % 4], 200_000.0 + k * 613 % 300_000) for k in range(2 * N)]
 ITEMS = [(k // 2, k % 2, k * 3 % 50, k % 11 / 100, k % 9 / 100) for k in range(2 * N)]
+PARTS = [(k, f"b{k % 5}") for k in range(N)]
 EVENTS = [(k, json.dumps({"k": k * 31 % 100})) for k in range(N)]
 
 
@@ -26,6 +27,7 @@ def small(tmp_path_factory):
         ("supplier", "s_suppkey BIGINT, s_nationkey INT", SUPPLIERS),
         ("orders", "o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus VARCHAR, o_orderpriority VARCHAR, o_totalprice DOUBLE", ORDERS),
         ("lineitem", "l_orderkey BIGINT, l_linenumber INT, l_partkey BIGINT, l_discount DOUBLE, l_tax DOUBLE", ITEMS),
+        ("part", "p_partkey BIGINT, p_brand VARCHAR", PARTS),
         ("events", "event_id BIGINT, props VARCHAR", EVENTS),
     ):
         con.execute(f"CREATE TABLE {name} ({ddl})")
@@ -64,3 +66,19 @@ def test_set_operations(spark, small):
 def test_json_changes(spark, small):
     want = {k: ({"k": 1, "z": "y"}, {}, json.loads(p) | {"q": [1, 2]}, 2) for k, p in EVENTS}
     assert {k: (*map(json.loads, x[:3]), x[3]) for k, *x in got(spark, small, "json_mutation")} == want
+
+
+def test_trees(spark, small):
+    below = {k: [c for c in range(N) if c // 3 == k and c > 0] for k in range(N)}
+
+    def walk(k, lvl, up, path):
+        path = f"{path}/{k}"
+        yield k, lvl, path, up, not below[k]
+        for c in below[k]:
+            yield from walk(c, lvl + 1, k, path)
+
+    want = list(walk(0, 1, None, ""))
+    assert len(want) == N
+    assert Counter((int(i), lvl, int(root), path, None if up is None else int(up), bool(leaf)) for i, lvl, root, path, up, leaf in got(spark, small, "connect_by")) == Counter((k, lvl, 0, path, up, leaf) for k, lvl, path, up, leaf in want)
+    assert dict(got(spark, small, "cte_tree")) == Counter(lvl for _, lvl, *_ in want)
+    assert [(int(i), lvl) for i, lvl in got(spark, small, "siblings_order")] == [(k, lvl) for k, lvl, *_ in walk(1, 1, None, "")]

@@ -1,5 +1,6 @@
 """Queries that once read only small ids, against brute force on rows of all ids."""
 
+import datetime
 import json
 from collections import Counter
 
@@ -12,8 +13,10 @@ N = 900
 PRIORITIES, STATES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "5-LOW"], ["F", "O", "P"]
 CUSTOMERS = [(k, f"c{k}", k % 7 if k < 400 else k % 11, float(k)) for k in range(N)]
 SUPPLIERS = [(k if k < 60 else 5000 + k, k % 13) for k in range(90)]
-ORDERS = [(k, k * 7 % (N - 50), STATES[k % 5 % 3], PRIORITIES[k % 7 % 4], 200_000.0 + k * 613 % 300_000) for k in range(2 * N)]
+ORDERS = [(k, k * 7 % (N - 50), STATES[k % 5 % 3], PRIORITIES[k % 7 % 4], 200_000.0 + k * 613 % 300_000, datetime.date(1995 + k % 3, 1 + k % 12, 1 + k % 28)) for k in range(2 * N)]
+ORDERS += [(2 * N + k, 860, STATES[k % 3], PRIORITIES[k % 4], 250_000.0, datetime.date(1996, 1, 1)) for k in range(8)]  # a late customer covers most
 ITEMS = [(k // 2, k % 2, k * 3 % 50, k % 11 / 100, k % 9 / 100) for k in range(2 * N)]
+NATIONS = [(k, f"n{k}") for k in range(5)]
 PARTS = [(k, f"b{k % 5}") for k in range(N)]
 EVENTS = [(k, json.dumps({"k": k * 31 % 100})) for k in range(N)]
 
@@ -25,8 +28,9 @@ def small(tmp_path_factory):
     for name, ddl, rows in (
         ("customer", "c_custkey BIGINT, c_name VARCHAR, c_nationkey INT, c_acctbal DOUBLE", CUSTOMERS),
         ("supplier", "s_suppkey BIGINT, s_nationkey INT", SUPPLIERS),
-        ("orders", "o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus VARCHAR, o_orderpriority VARCHAR, o_totalprice DOUBLE", ORDERS),
+        ("orders", "o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus VARCHAR, o_orderpriority VARCHAR, o_totalprice DOUBLE, o_orderdate DATE", ORDERS),
         ("lineitem", "l_orderkey BIGINT, l_linenumber INT, l_partkey BIGINT, l_discount DOUBLE, l_tax DOUBLE", ITEMS),
+        ("nation", "n_nationkey INT, n_name VARCHAR", NATIONS),
         ("part", "p_partkey BIGINT, p_brand VARCHAR", PARTS),
         ("events", "event_id BIGINT, props VARCHAR", EVENTS),
     ):
@@ -41,16 +45,16 @@ def got(spark, small, name):
 
 
 def test_filters_and_joins(spark, small):
-    assert Counter(got(spark, small, "is_distinct")) == Counter((k,) for k, _, _, p, _ in ORDERS if p != "2-HIGH")
+    assert Counter(got(spark, small, "is_distinct")) == Counter((k,) for k, _, _, p, *_ in ORDERS if p != "2-HIGH")
     c, s = {x[0] for x in CUSTOMERS}, {x[0] for x in SUPPLIERS}
     assert s - c and c - s
     assert Counter(got(spark, small, "join_full")) == Counter((k if k in c else None, k if k in s else None) for k in c | s)
-    high = {k: [o for o, x, _, _, p in ORDERS if x == k and p > 300_000] for k in c}
+    high = {k: [o for o, x, _, _, p, _ in ORDERS if x == k and p > 300_000] for k in c}
     assert Counter(got(spark, small, "outer_join_sign")) == Counter((k, o) for k in c for o in high[k] or [None])
 
 
 def test_pivots(spark, small):
-    n = Counter((k, s) for _, k, s, _, _ in ORDERS)
+    n = Counter((k, s) for _, k, s, *_ in ORDERS)
     assert Counter(got(spark, small, "pivot_status")) == Counter((k, *(n[k, s] or None for s in STATES)) for k in {o[1] for o in ORDERS})
     want = [(*i[:3], what, v) for i in ITEMS for what, v in (("discount", i[3]), ("tax", i[4]))]
     assert Counter(got(spark, small, "unpivot_prices")) == Counter(want)
@@ -82,3 +86,19 @@ def test_trees(spark, small):
     assert Counter((int(i), lvl, int(root), path, None if up is None else int(up), bool(leaf)) for i, lvl, root, path, up, leaf in got(spark, small, "connect_by")) == Counter((k, lvl, 0, path, up, leaf) for k, lvl, path, up, leaf in want)
     assert dict(got(spark, small, "cte_tree")) == Counter(lvl for _, lvl, *_ in want)
     assert [(int(i), lvl) for i, lvl in got(spark, small, "siblings_order")] == [(k, lvl) for k, lvl, *_ in walk(1, 1, None, "")]
+
+
+def test_set_cover_of_all_customers(spark, small):
+    points, left, want = {}, {f"{o[3]}|{o[2]}" for o in ORDERS}, []
+    for o in ORDERS:
+        points.setdefault(o[1], set()).add(f"{o[3]}|{o[2]}")
+    while left:
+        want.append(min(points, key=lambda k: (-len(points[k] & left), k)))
+        left -= points[want[-1]]
+    assert len(want) > 1 and max(want) >= 200
+    assert sorted(got(spark, small, "setcover_greedy")) == list(enumerate(want))
+
+
+def test_rewritten_query_and_merge(spark, small):
+    assert Counter(got(spark, small, "rewritten_query")) == Counter((o[1], "none" if o[3] == "5-LOW" else o[3], f"{o[5]:%Y-%m}") for o in ORDERS)
+    assert Counter(got(spark, small, "merge_align")) == Counter([(*n, None) for n in NATIONS] + [(c[0], c[1], c[3]) for c in CUSTOMERS])

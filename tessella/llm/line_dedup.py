@@ -183,25 +183,28 @@ def dropped(docs: DataFrame) -> DataFrame:
     return out
 
 
-def dedup(docs: DataFrame) -> DataFrame:
-    """docs without the dropped lines, with the long columns _n_lines and _n_dropped.
+def dedup(docs: DataFrame, n_lines: str = "_n_lines", n_dropped: str = "_n_dropped") -> DataFrame:
+    """docs without the dropped lines, with two more long columns of the given names, which must be free.
 
     A null or empty text has no line that counts and stays. A null doc_id sorts last; of documents with the
     same id, order is by a hash of the text; repeated rows (same id and text) are judged as one document, so
-    each keeps what the first keeps. Columns other than text keep their names and values, n_chars included.
+    each keeps what the first keeps. Columns other than text keep their names and values, whatever their names,
+    n_chars included. An empty table gives no rows.
     """
     gone = dropped(docs.select("doc_id", "text"))
-    named = docs.withColumns({"_id": F.coalesce(F.col("doc_id"), F.lit(common.LAST_ID)), "_t": F.xxhash64(F.col("text").cast("string"))})
-    out = named.join(gone.select(F.col("id").alias("_id"), F.col("t").alias("_t"), F.col("lines").alias("_gone")).hint("merge"), ["_id", "_t"], "left")  # by merge at every size
+    id_, t, lines_gone = (common.free_name(docs, wish) for wish in ("id", "t", "gone"))
+    named = docs.withColumns({id_: F.coalesce(F.col("doc_id"), F.lit(common.LAST_ID)), t: F.xxhash64(F.col("text").cast("string"))})
+    out = named.join(gone.select(F.col("id").alias(id_), F.col("t").alias(t), F.col("lines").alias(lines_gone)).hint("merge"), [id_, t], "left")  # by merge at every size
 
     def rest(lines: Column) -> Column:
-        return F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone")), lambda i: F.get(lines, i)), "\n")
+        return F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(lines_gone)), lambda i: F.get(lines, i)), "\n")
 
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(let(F.split("text", "\n"), rest))
-    return out.withColumns({"text": text, "_n_lines": F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long"), "_n_dropped": F.coalesce(F.size("_gone"), F.lit(0)).cast("long")}).select(*docs.columns, "_n_lines", "_n_dropped")
+    text = F.when(F.col(lines_gone).isNull(), F.col("text")).otherwise(let(F.split("text", "\n"), rest))
+    counts = {n_lines: F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long"), n_dropped: F.coalesce(F.size(lines_gone), F.lit(0)).cast("long")}
+    return out.withColumns({"text": text} | counts).select(*docs.columns, n_lines, n_dropped)
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, n_lines, n_dropped, kept_sha256 of the text that is left."""
+    """One row per row of docs: doc_id, n_lines, n_dropped, kept_sha256 of the text that is left. Awkward rows fare as `dedup` says; a null text has no lines."""
     out = dedup(docs.select("doc_id", "text"))
     return out.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))

@@ -346,7 +346,7 @@ def report(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFra
 
 def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """docs with one document of each component: that of the smallest id, and every row of it. Rows with a null id stay unless they are linked to an id."""
-    found = components(docs.select("doc_id", "text"), n, percent)
-    gone = found.filter("doc != component").select(F.col("doc").alias("_doc")).distinct()
-    named = docs.withColumn("_doc", F.coalesce(F.col("doc_id"), F.lit(common.LAST_ID)))
-    return named.join(gone, "_doc", "left_anti").select(*docs.columns)
+    found, doc = components(docs.select("doc_id", "text"), n, percent), common.free_name(docs, "doc")
+    gone = found.filter("doc != component").select(F.col("doc").alias(doc)).distinct()
+    named = docs.withColumn(doc, F.coalesce(F.col("doc_id"), F.lit(common.LAST_ID)))
+    return named.join(gone, doc, "left_anti").select(*docs.columns)

@@ -25,7 +25,7 @@ def with_clashes(df):
     """Extra columns whose names operators might use themselves."""
     from pyspark.sql import functions as F
 
-    return df.withColumns({c: F.lit(k) for k, c in enumerate(["id", "t", "no", "line", "size", "shard", "slot", "length", "kept", "n_words", "n", "hits", "first", "own", "h", "key", "component_id"])})
+    return df.withColumns({c: F.lit(k) for k, c in enumerate(["id", "t", "no", "line", "size", "shard", "slot", "length", "kept", "n_words", "n", "hits", "first", "own", "h", "key", "component_id", "_id", "_t", "_gone", "_doc", "_quality", "_found", "_n_dropped"])})
 
 
 def empty(spark):

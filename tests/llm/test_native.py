@@ -1,9 +1,11 @@
 """Operators 1, 5 and 7 against brute force."""
 
 import hashlib
+import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from tessella.llm import line_dedup, quality_rules, secret_scan
@@ -37,15 +39,39 @@ def test_quality_base_columns(docs):
     assert not any(r["kept"] for r in got if r["base_failed"])
 
 
+def em(patterns):
+    """Expectation-maximisation written apart from the operator's: (a function from votes to the posterior, the share of good documents), from {votes: count}.
+
+    The weak priors are those that the operator documents: a rule has cast 1 vote, 0.02 of it bad, on good documents, and 20 votes, 10 of them bad, on bad ones.
+    """
+    votes = np.array([[np.nan if v is None else v for v in k] for k in patterns], dtype=float)
+    count = np.array(list(patterns.values()), dtype=float)
+    bad, cast = (votes == 0).astype(float), (~np.isnan(votes)).astype(float)
+    share, p, q = 0.9, np.full(votes.shape[1], 0.02), np.full(votes.shape[1], 0.5)
+
+    def is_good(bad, cast):
+        a = np.log(share) + bad @ np.log(p) + (cast - bad) @ np.log1p(-p)
+        b = np.log1p(-share) + bad @ np.log(q) + (cast - bad) @ np.log1p(-q)
+        return 1 / (1 + np.exp(np.clip(b - a, -700, 700)))
+
+    for _ in range(200):
+        weight = count * is_good(bad, cast)
+        rest = count - weight
+        share = np.clip(weight.sum() / count.sum(), 1e-6, 1 - 1e-6)
+        p = np.clip((0.02 + weight @ bad) / (1 + weight @ cast), 1e-6, 1 - 1e-6)
+        q = np.maximum(p, np.clip((10 + rest @ bad) / (20 + rest @ cast), 1e-6, 1 - 1e-6))
+    one = lambda v: (np.array([[float(x == 0) for x in v]]), np.array([[float(x is not None) for x in v]]))
+    return (lambda v: float(is_good(*one(v))[0])), float(share)
+
+
 def test_quality_posterior_follows_the_estimates(docs):
-    """What DataFrame functions make of the votes equals the posterior in plain Python, with parameters found again from all votes."""
+    """What DataFrame functions make of the votes equals the posterior of an estimation written apart, over the documents that pass the base rules."""
     judged = quality_rules.judge(docs, ["doc_id"])
     votes = quality_rules.rules(lambda name: judged["_quality"][name])
     got = judged.select("_quality.p_good", "_quality.kept", "_quality.base_failed", *[v.alias(k) for k, v in votes.items()]).collect()
-    patterns = Counter(tuple(r[3:]) for r in got)
-    good, rates = quality_rules.estimate(sorted(([list(k), n] for k, n in patterns.items()), key=str))
+    posterior, _ = em(Counter(tuple(r[3:]) for r in got if not r["base_failed"]))
     for r in got:
-        p = quality_rules.posterior(tuple(r[3:]), good, rates)
+        p = posterior(tuple(r[3:]))
         assert abs(p - r["p_good"]) < 1e-6
         assert r["kept"] == (not r["base_failed"] and p >= 0.5) or abs(p - 0.5) < 1e-6
 
@@ -72,18 +98,38 @@ def test_quality_agrees_with_labels(spark):
     assert sum(r["kept"] for r in good if not r["base_failed"]) >= 0.97 * sum(not r["base_failed"] for r in good)
 
 
-def test_quality_one_bad_vote_decides_only_as_a_veto(spark):
-    """Labelled good documents that a single rule other than the veto votes down stay; what the veto votes down goes."""
+def test_quality_posterior_decides_and_no_single_vote(spark):
+    """Documents with a bad vote that the posterior keeps, and labelled good ones among them; junk goes, and not by one rule alone."""
     d = "/root/testdata/sf0.1"
     judged = quality_rules.judge(spark.read.parquet(f"{d}/documents.parquet"), ["doc_id"])
     votes = quality_rules.rules(lambda name: judged["_quality"][name])
     assert list(votes) == quality_rules.RULES
-    out = judged.select("doc_id", "_quality.kept", "_quality.base_failed", *[v.alias(k) for k, v in votes.items()]).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id", "left").collect()
+    out = judged.select("doc_id", "_quality.kept", "_quality.base_failed", "_quality.p_good", *[v.alias(k) for k, v in votes.items()]).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id", "left").collect()
     down = [r for r in out if not r["base_failed"] and any(r[k] == 0 for k in votes)]
-    good, veto = [r for r in down if r["quality"] == 1], [r for r in down if r[quality_rules.VETO] == 0]
-    print(len(down), sum(r["kept"] for r in down), len(good), len(veto), sum(r["quality"] == 0 for r in veto))
-    assert good and all(r["kept"] for r in good)
-    assert veto and not any(r["kept"] or r["quality"] == 1 for r in veto)
+    good, bad = [r for r in down if r["quality"] == 1], [r for r in down if r["quality"] == 0]
+    print(len(down), sum(r["kept"] for r in down), len(good), sum(r["kept"] for r in good), len(bad), sum(r["kept"] for r in bad))
+    assert any(r["kept"] for r in down)
+    assert good and sum(r["kept"] for r in good) >= 0.9 * len(good)
+    assert bad and sum(not r["kept"] for r in bad) >= 0.9 * len(bad)
+    assert all(sum(r[k] == 0 for k in votes) >= 2 for r in down if not r["kept"])
+
+
+def test_quality_drops_documents_without_a_bad_vote_where_the_posterior_says_so(spark):
+    """Where most of what passes the base rules is junk, a document on which nearly all rules abstain is more likely junk than not; one with good votes stays."""
+    rng = random.Random(4)
+    word = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    junk = [" ".join(x for _ in range(30) for x in (word(5), "|")) for _ in range(300)]
+    fine = [" ".join(word(5) for _ in range(60)) for _ in range(40)]
+    unsure = " ".join(f"{word(2)}7" for _ in range(25)) + " #"  # 25 words of 3 characters, a third of them digits
+    unsure = unsure.replace("7", "x", 22)
+    df = spark.createDataFrame([(k, t) for k, t in enumerate([*junk, *fine, unsure])], "doc_id long, text string")
+    judged = quality_rules.judge(df, ["doc_id"])
+    votes = quality_rules.rules(lambda name: judged["_quality"][name])
+    got = {r["doc_id"]: r for r in judged.select("doc_id", "_quality.kept", "_quality.base_failed", *[v.alias(k) for k, v in votes.items()]).collect()}
+    last = got[len(junk) + len(fine)]
+    assert not last["base_failed"] and not any(last[k] == 0 for k in votes)
+    assert not last["kept"]
+    assert all(got[len(junk) + k]["kept"] for k in range(len(fine)))
 
 
 def one_edit(a, b):

@@ -7,14 +7,14 @@ from collections import Counter
 import numpy as np
 import pytest
 import public_tokenizers
+import regex
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from tessella.llm import quality_rules
 from tessella.llm.common import table
 
 from .cases import awkward, empty, with_clashes
-from .test_native import WORD, brute_lines, quality
+from .test_native import WORD, brute_lines, em, quality
 from .test_others import brute_components, brute_hits
 
 
@@ -36,14 +36,17 @@ def votes(text):
         vote(share(f["n_repeat_words"], n), lambda x: 100 * f["n_repeat_words"] > 30 * n, lambda x: x < 0.1),
         vote(doubled, lambda x: x > 0.3, lambda x: x < 0.1 and lines >= 3),
         vote(fresh, lambda x: 50 <= n <= 2000 and x < 0.2, lambda x: x > 0.35),
+        vote(share(len(regex.findall(r"\p{L}[#*$%&|<>]", t)), n), lambda x: x > 0.1, lambda x: x < 0.02),
+        vote(share(sum(set(w) <= set("#*$%&|<>") for w in ws), n), lambda x: x > 0.1, lambda x: x < 0.02),
     )
 
 
 def brute(docs, benchmark):
     """What each stage keeps of (doc_id, text)."""
     seen = [votes(t) for _, t in docs]
-    good, rates = quality_rules.estimate(sorted(([list(v), n] for v, n in Counter(seen).items()), key=str))
-    docs = [d for d, v in zip(docs, seen, strict=True) if not quality(d[1])["base_failed"] and quality_rules.posterior(v, good, rates) >= 0.5]
+    failed = [quality(t)["base_failed"] for _, t in docs]
+    posterior, _ = em(Counter(v for v, f in zip(seen, failed, strict=True) if not f))
+    docs = [d for d, v, f in zip(docs, seen, failed, strict=True) if not f and posterior(v) >= 0.5]
     yield docs
     gone = brute_lines(docs)
     cut = [(i, "\n".join(x for no, x in enumerate(t.split("\n")) if no not in gone.get(k, ())) if k in gone else t) for k, (i, t) in enumerate(docs)]

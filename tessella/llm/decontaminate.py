@@ -19,22 +19,36 @@ from .texthash import ALNUM, BASE, FOLD, U, chunks, mix, span_hashes, words
 WINDOW = 10
 #: Ends of windows in one stretch.
 STRETCH = 256
-TABLE_BITS = 18
-#: Test text in one broadcast; more goes out as several.
-BROADCAST_BYTES = 32 << 20
+#: Slots of a shift table for each block in the windows, as a power of two within these bounds.
+SLOTS_A_BLOCK, LEAST_BITS, MOST_BITS = 8, 10, 22
+#: Test text in one broadcast; more goes out as several. The index takes at most so many bytes for each word of it, and the text itself, item ids and shift tables (8 MB at most, for each of ten lengths) besides.
+BROADCAST_BYTES, INDEX_BYTES_A_WORD = 4 << 20, 48
 
 FOUND_TYPE = "struct<n_words: bigint, hits: array<struct<lo: int, hi: int>>, items: array<string>>"
 
 
-def folded_words(texts: list[str]) -> list[list[bytes]]:
-    out = []
-    for _, _, raw, offsets in chunks(pa.array(texts, pa.string())):
-        buf = FOLD[raw]
-        data = buf.tobytes()
-        starts, ends, first = words(buf, offsets, ALNUM)
-        cut = [data[s:e] for s, e in zip(starts, ends, strict=True)]
-        out += [cut[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
-    return out
+class Tests:
+    """The words of all test items, in order: bytes once, where each word starts and ends, its hash, and where each item's words start."""
+
+    def __init__(self, items: list[tuple[str, str]]):
+        self.names = [name for name, _ in items]
+        parts: list[list] = [[], [], [], []]
+        data, firsts, base, n = [], [np.zeros(1, np.int64)], 0, 0
+        for _, _, raw, offsets in chunks(pa.array([t for _, t in items], pa.string())):
+            buf = FOLD[raw]
+            starts, ends, first = words(buf, offsets, ALNUM)
+            for part, x in zip(parts, (starts + base, ends + base, span_hashes(buf, starts, ends) if len(starts) else np.zeros(0, U)), strict=False):
+                part.append(x)
+            firsts.append(first[1:] + n)
+            data.append(buf.tobytes())
+            base, n = base + len(buf), n + len(starts)
+        flat = lambda part, kind: np.concatenate(part).astype(kind) if part else np.zeros(0, kind)
+        self.data, self.starts, self.ends, self.hashes = b"".join(data), flat(parts[0], np.int64), flat(parts[1], np.int64), flat(parts[2], U)
+        self.first = np.concatenate(firsts)
+
+    def text(self, a: int, b: int) -> bytes:
+        """Words a to b, with a space between."""
+        return b" ".join([self.data[s:e] for s, e in zip(self.starts[a:b].tolist(), self.ends[a:b].tolist(), strict=True)])
 
 
 def blocks(h: np.ndarray, width: int) -> np.ndarray:
@@ -46,30 +60,25 @@ def blocks(h: np.ndarray, width: int) -> np.ndarray:
 
 
 class Patterns:
-    """Windows of one length with their shift table and suffix buckets."""
-
-    def __init__(self, length: int, strings: list[tuple[bytes, ...]], items: list[list[str]]):
-        self.length, self.width = length, min(2, length)
-        flat = np.frombuffer(b"".join(w for s in strings for w in s), dtype=np.uint8)
-        ends = np.cumsum([len(w) for s in strings for w in s])
-        starts = np.concatenate([[0], ends[:-1]])
-        h = span_hashes(flat, starts, ends)
-        block = blocks(h, self.width).reshape(-1, length)
-        self.shift = np.full(1 << TABLE_BITS, length - self.width + 1, dtype=np.int16)
-        for at in range(self.width - 1, length):
-            np.minimum.at(self.shift, self.slot(block[:, at]), length - 1 - at)
-        order = np.argsort(block[:, -1], kind="stable")
-        self.suffixes = block[order, -1]
-        self.words = h.reshape(-1, length)[order]
-        self.strings = [b" ".join(strings[k]) for k in order]
-        self.items = [items[k] for k in order]
-
-    @staticmethod
-    def slot(block: np.ndarray) -> np.ndarray:
-        return (block >> U(64 - TABLE_BITS)).astype(np.int64)
+    """Windows of one length with their shift table and suffix buckets; a window is the place of its first word among the tests' words."""
+
+    def __init__(self, length: int, tests: Tests, at: np.ndarray, item: np.ndarray):
+        self.length, self.width, self.tests = length, min(2, length), tests
+        block = blocks(tests.hashes, self.width)
+        in_windows = min(len(at) * (length - self.width + 1), len(tests.hashes))  # blocks, at most
+        self.bits = min(max(LEAST_BITS, (SLOTS_A_BLOCK * in_windows).bit_length()), MOST_BITS)
+        self.shift = np.full(1 << self.bits, length - self.width + 1, dtype=np.int16)
+        for k in range(self.width - 1, length):
+            np.minimum.at(self.shift, self.slot(block[at + k]), length - 1 - k)
+        order = np.argsort(block[at + length - 1], kind="stable")
+        self.at, self.item = at[order], item[order].astype(np.int32)
+        self.suffixes = block[self.at + length - 1]
+
+    def slot(self, block: np.ndarray) -> np.ndarray:
+        return (block >> U(64 - self.bits)).astype(np.int64)
 
     def search(self, h: np.ndarray, first: np.ndarray, text_of) -> tuple[np.ndarray, np.ndarray]:
-        """(ends, patterns) of all occurrences among the words with hashes h; documents start at `first`."""
+        """(ends, items) of all occurrences among the words with hashes h; documents start at `first`."""
         m = self.length
         lo, hi = first[:-1] + m - 1, first[1:]
         lo, hi = lo[lo < hi], hi[lo < hi]
@@ -97,24 +106,31 @@ class Patterns:
             ends, low, high = ends[on], low[on], high[on]
             same = np.ones(len(ends), dtype=bool)
             for k in range(m):
-                same[same] = h[ends[same] - (m - 1 - k)] == self.words[low[same], k]
-            for end, pattern in zip(ends[same].tolist(), low[same].tolist(), strict=True):
-                if text_of(end - m + 1, end + 1) == self.strings[pattern]:
+                same[same] = h[ends[same] - (m - 1 - k)] == self.tests.hashes[self.at[low[same]] + k]
+            for end, place, item in zip(ends[same].tolist(), self.at[low[same]].tolist(), self.item[low[same]].tolist(), strict=True):
+                if text_of(end - m + 1, end + 1) == self.tests.text(place, place + m):
                     found_at.append(end)
-                    found.append(pattern)
+                    found.append(item)
             low = low + 1
         return np.array(found_at, np.int64), np.array(found, np.int64)
 
 
 def compile_patterns(items: list[tuple[str, str]], window: int) -> list[Patterns]:
-    by_length: dict[int, dict[tuple[bytes, ...], list[str]]] = {}
-    for (item, _), ws in zip(items, folded_words([t for _, t in items]), strict=True):
-        n = min(window, len(ws))
-        for at in range(len(ws) - n + 1 if ws else 0):
-            holders = by_length.setdefault(n, {}).setdefault(tuple(ws[at : at + n]), [])
-            if item not in holders:
-                holders.append(item)
-    return [Patterns(n, list(x), list(x.values())) for n, x in sorted(by_length.items())]
+    tests = Tests(items)
+    n_words = np.diff(tests.first)
+    out = []
+    for length in np.unique(np.minimum(n_words, window)[n_words > 0]).tolist():
+        mine = np.flatnonzero(np.minimum(n_words, window) == length)
+        n = n_words[mine] - length + 1
+        item = np.repeat(mine, n)
+        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(tests.first[mine], n)
+        h = np.zeros(len(at), U)
+        for k in range(length):
+            h = h * U(BASE) + tests.hashes[at + k]
+        once = np.unique(np.stack([h, item.astype(U)]), axis=1, return_index=True)[1]  # an item's repeated window is one
+        once = np.sort(once)
+        out.append(Patterns(length, tests, at[once], item[once]))
+    return out
 
 
 def scan(texts: pa.Array, patterns: list[Patterns]):
@@ -135,7 +151,7 @@ def scan(texts: pa.Array, patterns: list[Patterns]):
                 np.add.at(cover, at - p.length + 1, 1)
                 np.add.at(cover, at + 1, -1)
                 for row, pattern in zip((np.searchsorted(first, at, side="right") - 1).tolist(), which.tolist(), strict=True):
-                    found[row].update(p.items[pattern])
+                    found[row].add(p.tests.names[pattern])
             hit = np.cumsum(cover[:-1]) > 0
             if hit.any():
                 edge = hit.copy()
@@ -152,26 +168,26 @@ def scan(texts: pa.Array, patterns: list[Patterns]):
             yield n, r, sorted(f)
 
 
-def search(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """docs with the struct column _found: n_words, hits (runs of hit words), items (ids as text).
+def search(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, broadcast_bytes: int = BROADCAST_BYTES, *, name: str = "_found") -> DataFrame:
+    """docs with the struct column `name`: n_words, hits (runs of hit words), items (ids as text).
 
     Null and empty texts have no words. Items of the same id are one item; a null id is the empty text. An
-    empty benchmark hits nothing. All columns of docs pass through, whatever their names but _found.
+    empty benchmark hits nothing. All columns of docs pass through; the name must be free among them.
     """
     spark = docs.sparkSession
     tests = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     size = tests.agg(F.sum(F.octet_length("text") + F.octet_length("item"))).first()[0] or 0
     parts = max(1, -(-size // broadcast_bytes))
-    out = docs.withColumn("_found", F.lit(None).cast(FOUND_TYPE))
+    out = docs.withColumn(name, F.lit(None).cast(FOUND_TYPE))
     for part in range(parts):  # one, unless the tests are too many for one broadcast
         some = tests.filter(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == part).collect()
-        out = _scanned(out, spark.sparkContext.broadcast(compile_patterns([(r["item"], r["text"]) for r in some], window)))
+        out = _scanned(out, spark.sparkContext.broadcast(compile_patterns([(r["item"], r["text"]) for r in some], window)), name)
     return out
 
 
-def _scanned(docs: DataFrame, patterns) -> DataFrame:
-    """docs with what these patterns find added to _found."""
-    text_at, found_at = docs.columns.index("text"), docs.columns.index("_found")
+def _scanned(docs: DataFrame, patterns, name: str) -> DataFrame:
+    """docs with what these patterns find added to the column `name`."""
+    text_at, found_at = docs.columns.index("text"), docs.columns.index(name)
 
     def run(batches):
         for batch in batches:
@@ -202,7 +218,7 @@ def n_hit(hits):
 
 
 def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for each row of docs."""
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for each row of docs; awkward rows fare as `search` says."""
     found = search(docs.select("doc_id", F.col("text").cast("string").alias("text")), benchmark, window)
     return found.select(
         "doc_id",

@@ -220,6 +220,19 @@ def brute_hits(docs, tests, window=10):
     return out
 
 
+def test_index_is_bounded_by_the_test_text():
+    """What one broadcast holds grows with its words by a stated number of bytes."""
+    rng = random.Random(8)
+    items = [(str(k), " ".join(f"w{rng.randrange(5000)}" for _ in range(rng.randint(1, 300)))) for k in range(400)]
+    patterns = decontaminate.compile_patterns(items, 10)
+    tests = patterns[0].tests
+    assert all(p.tests is tests for p in patterns)
+    arrays = [x for p in [tests, *patterns] for n, x in vars(p).items() if isinstance(x, np.ndarray) and n != "shift"]
+    n_words = sum(len(t.split()) for _, t in items)
+    assert sum(x.nbytes for x in arrays) <= decontaminate.INDEX_BYTES_A_WORD * (n_words + 10 * len(items))
+    assert all(len(p.shift) <= 1 << decontaminate.MOST_BITS for p in patterns)
+
+
 @pytest.mark.parametrize("broadcast_bytes", [1 << 20, 60])
 def test_decontamination(spark, docs, broadcast_bytes, monkeypatch):
     more = spark.createDataFrame([(100 + k, t) for k, t in enumerate(["say THE quick-brown fox jumps over the lazy dog and runs away home twice", "aa " * 40, "x x a short one x", "the quick brown fox jumps over the lazy dog", "null id words of item three is here and has more than ten words"])], "doc_id long, text string")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm import decontaminate, line_dedup, ngram_join, packing, quality_rules
-from tessella.llm.common import stage, table
+from tessella.llm.common import free_name, scratch, stage, table, unstage
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,9 +20,10 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the lines that stand earlier, n_chars with them; documents of which no word is left go."""
-    out = line_dedup.dedup(docs)
-    left = (F.col("_n_dropped") == 0) | F.col("text").rlike("[^\\x20\\x09-\\x0D]")
-    n_chars = F.when(F.col("_n_dropped") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+    n_lines, n_dropped = free_name(docs, "n_lines"), free_name(docs, "n_dropped")
+    out, dropped = line_dedup.dedup(docs, n_lines, n_dropped), F.col(n_dropped) > 0
+    left = ~dropped | F.col("text").rlike("[^\\x20\\x09-\\x0D]")
+    n_chars = F.when(dropped, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
     return out.filter(left).withColumn("n_chars", n_chars).select(*docs.columns)
 
 
@@ -33,8 +34,9 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any window of a benchmark item."""
-    found = decontaminate.search(docs, table(spark, sf_dir, "benchmark"))
-    return found.filter(F.size("_found.hits") == 0).select(*docs.columns)
+    name = free_name(docs, "found")
+    found = decontaminate.search(docs, table(spark, sf_dir, "benchmark"), name=name)
+    return found.filter(F.size(F.col(name)["hits"]) == 0).select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +57,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every stage over all that the one before kept; a stage's own tables go once its result is written, and its docs once the next one's is."""
     docs = table(spark, sf_dir, "documents")
     for name, f in STAGES:
-        docs = stage(f(spark, docs, sf_dir), f"pipeline-{name}")
+        with scratch():
+            out = stage(f(spark, docs, sf_dir), f"pipeline-{name}", lasting=True)
+        if hasattr(docs, "staged_at"):
+            unstage(docs)
+        docs = out
     return docs

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+import struct
 
 Point = tuple[float, float]
 
@@ -171,6 +172,88 @@ def distance(g, h) -> float | None:
     return min([math.dist(p, q) for p in ps for q in qs] + [to_segment(p, a, b) for p in ps for a, b in segments(h)] + [to_segment(q, a, b) for q in qs for a, b in segments(g)])
 
 
+def crosses(g, h) -> bool:
+    """Whether the insides meet, in less than the larger of both dimensions, and neither holds the other."""
+    if dimension(g) > dimension(h):
+        return crosses(h, g)
+    spots = [place(p, h) for p in points(g)] + [place(((a[0] + b[0]) / 2, (a[1] + b[1]) / 2), h) for a, b in segments(g)]
+    if dimension(g) < dimension(h):
+        return 1 in spots and -1 in spots or any(_properly(a, b, c, d) for a, b in segments(g) for c, d in segments(h)) and not contains(h, g)
+    if dimension(g) == 1:
+        return any(_properly(a, b, c, d) for a, b in segments(g) for c, d in segments(h))
+    return False
+
+
+def _properly(a, b, c, d) -> bool:
+    side = lambda p, q, r: (q[0] - p[0]) * (r[1] - p[1]) - (q[1] - p[1]) * (r[0] - p[0])
+    return side(a, b, c) * side(a, b, d) < 0 and side(c, d, a) * side(c, d, b) < 0
+
+
+def overlaps(g, h) -> bool:
+    """Whether two geometries of one dimension share inside points and neither holds the other."""
+    if dimension(g) != dimension(h) or contains(g, h) or contains(h, g):
+        return False
+    if dimension(g) == 0:
+        return bool(set(points(g)) & set(points(h)))
+    if dimension(g) == 2:
+        return any(place(p, h) == 1 for p in points(g)) or any(place(p, g) == 1 for p in points(h)) or any(_properly(a, b, c, d) for a, b in segments(g) for c, d in segments(h))
+    middles = lambda x: [((a[0] + b[0]) / 2, (a[1] + b[1]) / 2) for a, b in segments(x)]
+    return any(place(p, h) >= 0 for p in middles(g)) or any(place(p, g) >= 0 for p in middles(h))
+
+
+def dimension(g) -> int:
+    if g[0] == "GEOMETRYCOLLECTION":
+        return max(map(dimension, g[1]), default=0)
+    return 2 if g[0].endswith("POLYGON") else 1 if g[0].endswith("LINESTRING") else 0
+
+
+# Codes of kinds in well-known binary.
+CODES = ["POINT", "LINESTRING", "POLYGON", "MULTIPOINT", "MULTILINESTRING", "MULTIPOLYGON", "GEOMETRYCOLLECTION"]
+
+
+def to_wkb(g) -> bytes:
+    kind, v = g
+    pairs = lambda ps: struct.pack("<I", len(ps)) + b"".join(struct.pack("<dd", *p) for p in ps)
+    if kind == "POINT":
+        body = struct.pack("<dd", *v[0])
+    elif kind == "LINESTRING":
+        body = pairs(v)
+    elif kind == "POLYGON":
+        body = struct.pack("<I", len(v)) + b"".join(map(pairs, v))
+    else:
+        parts = v if kind == "GEOMETRYCOLLECTION" else [(kind.removeprefix("MULTI"), [p] if kind == "MULTIPOINT" else p) for p in v]
+        body = struct.pack("<I", len(parts)) + b"".join(map(to_wkb, parts))
+    return b"\x01" + struct.pack("<I", CODES.index(kind) + 1) + body
+
+
+def from_wkb(data: bytes) -> tuple[str, list]:
+    return _read_wkb(data, 0)[0]
+
+
+def _read_wkb(data: bytes, at: int) -> tuple[tuple[str, list], int]:
+    order = "<" if data[at] else ">"
+
+    def read(form: str):
+        nonlocal at
+        out = struct.unpack_from(order + form, data, at)
+        at += struct.calcsize(order + form)
+        return out
+
+    at += 1
+    kind = CODES[read("I")[0] - 1]
+    if kind == "POINT":
+        return (kind, [read("dd")]), at
+    if kind == "LINESTRING":
+        return (kind, [read("dd") for _ in range(read("I")[0])]), at
+    if kind == "POLYGON":
+        return (kind, [[read("dd") for _ in range(read("I")[0])] for _ in range(read("I")[0])]), at
+    parts = []
+    for _ in range(read("I")[0]):
+        part, at = _read_wkb(data, at)
+        parts.append(part)
+    return (kind, parts if kind == "GEOMETRYCOLLECTION" else [p[1][0] if kind == "MULTIPOINT" else p[1] for p in parts]), at
+
+
 def boxes(f):
     def g(a, b):
         x, y = box(a), box(b)
@@ -179,17 +262,25 @@ def boxes(f):
     return g
 
 
+def _holds(x, y) -> bool:
+    return x[0] <= y[0] and x[1] <= y[1] and x[2] >= y[2] and x[3] >= y[3]
+
+
 #: name -> (function of one or two geometries, kind of result)
 ONE = {
     "area": (area, "n"), "length": (length, "n"), "glength": (length, "n"), "perimeter": (lambda g: sum(math.dist(a, b) for a, b in segments(g)) if polygons(g) else 0.0, "n"), "centroid": (lambda g: show(*centroid(g)), "s"),
     "envelope": (lambda g: (lambda b: show("POLYGON", [[(b[0], b[1]), (b[2], b[1]), (b[2], b[3]), (b[0], b[3]), (b[0], b[1])]]) if b else show("POLYGON", []))(box(g)), "s"), "x": (lambda g: g[1][0][0] if g[0] == "POINT" and g[1] else None, "n"), "y": (lambda g: g[1][0][1] if g[0] == "POINT" and g[1] else None, "n"),
     "numpoints": (lambda g: float(len(points(g))), "n"), "numgeometries": (lambda g: float(len(g[1]) if g[0].startswith(("MULTI", "GEOMETRYC")) else 1), "n"), "geometrytype": (lambda g: g[0], "s"), "dimension": (lambda g: float(2 if polygons(g) else 1 if "LINE" in g[0] else 0), "n"),
+    "srid": (lambda g: 0.0, "n"), "numinteriorring": (lambda g: float(len(g[1]) - 1), "n"),
     "isempty": (lambda g: float(not points(g)), "n"), "isclosed": (lambda g: float(all(tuple(r[0]) == tuple(r[-1]) for r in lines(g))), "n"), "startpoint": (lambda g: show("POINT", [g[1][0]]), "s"), "endpoint": (lambda g: show("POINT", [g[1][-1]]), "s"),
     "exteriorring": (lambda g: show("LINESTRING", g[1][0]), "s"), "numinteriorrings": (lambda g: float(len(g[1]) - 1), "n"), "astext": (lambda g: show(*g), "s"), "aswkt": (lambda g: show(*g), "s"), "issimple": (lambda g: float(len({tuple(p) for p in points(g)}) >= len(points(g)) - len(lines(g))), "n"),
 }
 TWO = {
     "contains": (lambda g, h: float(contains(g, h)), "n"), "within": (lambda g, h: float(contains(h, g)), "n"), "intersects": (lambda g, h: float(intersects(g, h)), "n"), "disjoint": (lambda g, h: float(not intersects(g, h)), "n"), "distance": (distance, "n"),
     "equals": (lambda g, h: float(contains(g, h) and contains(h, g) if polygons(g) or lines(g) else sorted(points(g)) == sorted(points(h))), "n"), "touches": (lambda g, h: float(intersects(g, h) and not any(place(p, h) == 1 for p in points(g)) and not any(place(p, g) == 1 for p in points(h))), "n"),
+    "crosses": (lambda g, h: float(crosses(g, h)), "n"), "overlaps": (lambda g, h: float(overlaps(g, h)), "n"),
+    "mbroverlaps": (boxes(lambda x, y: float(x != y and x[0] < y[2] and y[0] < x[2] and x[1] < y[3] and y[1] < x[3] and not _holds(x, y) and not _holds(y, x))), "n"),
+    "mbrtouches": (boxes(lambda x, y: float(x[0] <= y[2] and y[0] <= x[2] and x[1] <= y[3] and y[1] <= x[3] and not (x[0] < y[2] and y[0] < x[2] and x[1] < y[3] and y[1] < x[3]))), "n"),
     "mbrcontains": (boxes(lambda x, y: float(x[0] <= y[0] and x[1] <= y[1] and x[2] >= y[2] and x[3] >= y[3])), "n"), "mbrwithin": (boxes(lambda x, y: float(y[0] <= x[0] and y[1] <= x[1] and y[2] >= x[2] and y[3] >= x[3])), "n"), "mbrequal": (boxes(lambda x, y: float(x == y)), "n"), "mbrequals": (boxes(lambda x, y: float(x == y)), "n"),
     "mbrintersects": (boxes(lambda x, y: float(x[0] <= y[2] and y[0] <= x[2] and x[1] <= y[3] and y[1] <= x[3])), "n"), "mbrdisjoint": (boxes(lambda x, y: float(not (x[0] <= y[2] and y[0] <= x[2] and x[1] <= y[3] and y[1] <= x[3]))), "n"),
 }
@@ -197,4 +288,7 @@ NTH = {
     "pointn": lambda g, n: show("POINT", [g[1][n - 1]]) if 1 <= n <= len(g[1]) else None, "geometryn": lambda g, n: show(g[0].removeprefix("MULTI"), [g[1][n - 1]] if g[0] == "MULTIPOINT" else g[1][n - 1]) if 1 <= n <= len(g[1]) else None,
     "interiorringn": lambda g, n: show("LINESTRING", g[1][n]) if 1 <= n < len(g[1]) else None,
 }
-SAME = ["geomfromtext", "geometryfromtext", "pointfromtext", "linefromtext", "linestringfromtext", "polyfromtext", "polygonfromtext", "mpointfromtext", "mlinefromtext", "mpolyfromtext", "multipointfromtext", "multilinestringfromtext", "multipolygonfromtext", "geomcollfromtext", "geometrycollectionfromtext"]
+SAME = ["geomfromtext", "geometryfromtext", "pointfromtext", "linefromtext", "linestringfromtext", "polyfromtext", "polygonfromtext", "mpointfromtext", "mlinefromtext", "mpolyfromtext", "multipointfromtext", "multilinestringfromtext", "multipolygonfromtext", "geomcollfromtext", "geomcollfromtxt", "geometrycollectionfromtext", "multilinefromtext"]
+#: Names that read and write well-known binary.
+FROM_WKB = ["geomfromwkb", "geometryfromwkb", "pointfromwkb", "linefromwkb", "linestringfromwkb", "polyfromwkb", "polygonfromwkb", "mpointfromwkb", "mlinefromwkb", "mpolyfromwkb", "multipointfromwkb", "multilinestringfromwkb", "multipolygonfromwkb", "geomcollfromwkb", "geometrycollectionfromwkb"]
+TO_WKB = ["asbinary", "aswkb"]

@@ -145,6 +145,82 @@ def _xml_rows(text: str, path: str) -> list[str]:
     return [ET.tostring(x, encoding="unicode").strip() for x in found]
 
 
+def update_xml(text: str, path: str, new: str) -> str:
+    """The document with the one element at the path replaced; unchanged if there is none, or more than one."""
+    import xml.etree.ElementTree as ET
+
+    root = ET.fromstring(text)
+    top, *rest = [p for p in path.split("/") if p]
+    if not rest:
+        return new if top == root.tag else text
+    if top != root.tag:
+        return text
+    found = [(p, k) for p in ([root] if len(rest) == 1 else root.findall("./" + "/".join(rest[:-1]))) for k, c in enumerate(p) if c.tag == rest[-1]]
+    if len(found) != 1:
+        return text
+    parent, at = found[0]
+    tail = parent[at].tail
+    parent[at] = ET.fromstring(new)
+    parent[at].tail = tail
+    return ET.tostring(root, encoding="unicode", short_empty_elements=False)
+
+
+_JSON_KINDS = {"object": dict, "array": list, "string": str, "boolean": bool, "null": type(None)}
+
+
+def _is_kind(v, kind: str) -> bool:
+    if kind == "number":
+        return isinstance(v, (int, float)) and not isinstance(v, bool)
+    if kind == "integer":
+        return isinstance(v, int) and not isinstance(v, bool)
+    return isinstance(v, _JSON_KINDS[kind])
+
+
+def schema_fault(schema: dict, v, where: str = "#", at: str = "#") -> tuple[str, str, str] | None:
+    """(keyword, its place in the schema, place in the document) of the first fault, by draft 4 of JSON Schema without references; None if there is none."""
+    number, kinds = _is_kind(v, "number"), schema.get("type", [])
+    kinds = [kinds] if isinstance(kinds, str) else kinds
+    checks = {
+        "type": lambda x: any(_is_kind(v, k) for k in kinds),
+        "enum": lambda x: any(v == c and isinstance(v, bool) == isinstance(c, bool) for c in x),
+        "minimum": lambda x: not number or (v > x if schema.get("exclusiveMinimum") else v >= x),
+        "maximum": lambda x: not number or (v < x if schema.get("exclusiveMaximum") else v <= x),
+        "multipleOf": lambda x: not number or v % x == 0,
+        "minLength": lambda x: not isinstance(v, str) or len(v) >= x,
+        "maxLength": lambda x: not isinstance(v, str) or len(v) <= x,
+        "pattern": lambda x: not isinstance(v, str) or re.search(x, v) is not None,
+        "minItems": lambda x: not isinstance(v, list) or len(v) >= x,
+        "maxItems": lambda x: not isinstance(v, list) or len(v) <= x,
+        "uniqueItems": lambda x: not x or not isinstance(v, list) or len({dump(i) for i in v}) == len(v),
+        "minProperties": lambda x: not isinstance(v, dict) or len(v) >= x,
+        "maxProperties": lambda x: not isinstance(v, dict) or len(v) <= x,
+        "required": lambda x: not isinstance(v, dict) or all(k in v for k in x),
+        "additionalProperties": lambda x: x is not False or not isinstance(v, dict) or set(v) <= set(schema.get("properties", {})),
+        "allOf": lambda x: all(schema_fault(s, v) is None for s in x),
+        "anyOf": lambda x: any(schema_fault(s, v) is None for s in x),
+        "oneOf": lambda x: sum(schema_fault(s, v) is None for s in x) == 1,
+        "not": lambda x: schema_fault(x, v) is not None,
+    }
+    for keyword, ok in checks.items():
+        if keyword in schema and not ok(schema[keyword]):
+            return keyword, where, at
+    inner = []
+    if isinstance(v, dict):
+        inner = [(s, v[k], f"{where}/properties/{k}", f"{at}/{k}") for k, s in schema.get("properties", {}).items() if k in v]
+    if isinstance(v, list) and isinstance(schema.get("items"), dict):
+        inner = [(schema["items"], x, f"{where}/items", f"{at}/{k}") for k, x in enumerate(v)]
+    return next((fault for i in inner if (fault := schema_fault(*i))), None)
+
+
+def schema_report(schema: str, doc: str) -> str:
+    fault = schema_fault(json.loads(schema), json.loads(doc))
+    if fault is None:
+        return dump({"valid": True})
+    keyword, where, at = fault
+    reason = f"The JSON document location '{at}' failed requirement '{keyword}' at JSON Schema location '{where}'"
+    return dump({"valid": False, "reason": reason, "schema-location": where, "document-location": at, "schema-failed-keyword": keyword})
+
+
 def _each(f: Callable, *series: pd.Series) -> pd.Series:
     """f of each row; null if any argument is."""
     return pd.Series([None if any(v is None or v is pd.NA or isinstance(v, float) and v != v for v in row) else f(*row) for row in zip(*series, strict=True)], dtype=object)
@@ -160,6 +236,9 @@ def register(spark: SparkSession) -> None:
     add("json_change", "string", _json_change, 3)
     add("json_search", "string", lambda doc, how, what: search(json.loads(doc), how.lower() == "one", what), 3)
     add("json_depth", "int", lambda doc: depth(json.loads(doc)), 1)
+    add("json_schema_valid", "int", lambda schema, doc: int(schema_fault(json.loads(schema), json.loads(doc)) is None), 2)
+    add("json_schema_validation_report", "string", schema_report, 2)
+    add("updatexml", "string", update_xml, 3)
     add("xml_ok", "boolean", _well_formed, 1)
     add("xml_rows", "array<string>", _xml_rows, 2)
     add("normalize", "string", lambda s, form: unicodedata.normalize(form, s), 2)
@@ -167,6 +246,8 @@ def register(spark: SparkSession) -> None:
     add("uncompress", "string", lambda b: zlib.decompress(bytes(b)[4:]).decode(), 1)
     add("inet6_aton", "binary", lambda s: ipaddress.ip_address(s).packed, 1)
     add("inet6_ntoa", "string", lambda b: str(ipaddress.ip_address(bytes(b))), 1)
+    add("geo_fromwkb", "string", lambda b: geometry.show(*geometry.from_wkb(bytes(b))), 1)
+    add("geo_towkb", "binary", lambda g: geometry.to_wkb(geometry.parse(g)), 1)
     one = lambda f: lambda g: f(geometry.parse(g))
     two = lambda f: lambda g, h: f(geometry.parse(g), geometry.parse(h))
     nth = lambda f: lambda g, n: f(geometry.parse(g), int(n))

@@ -45,7 +45,9 @@ class Engine:
         return translate(sql, dialect, self.catalog(sql, dialect))
 
     def run(self, sql: str, dialect: str) -> DataFrame:
-        text = self.spark_sql(sql, dialect)
+        return self.run_spark_sql(self.spark_sql(sql, dialect))
+
+    def run_spark_sql(self, text: str) -> DataFrame:
         if "tessella_" in text:
             register(self.spark)
         return self.spark.sql(text)

@@ -160,6 +160,26 @@ def verify_ordered(e: Engine) -> DataFrame:
     return e.spark.createDataFrame([(r.execution, r.ori_execution)], "execution boolean, ori_execution boolean")
 
 
+BY_KEY = "SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_totalprice >= 0 ORDER BY o_orderkey"
+
+
+@query("SELECT 'equal' AS which, true AS execution, true AS ori_execution, '' AS reason UNION ALL SELECT 'ties', true, true, '' UNION ALL SELECT 'swapped', false, false, '2 rows differ'")
+def verify_ordered_large(e: Engine) -> DataFrame:
+    """All of orders in the order of its key, against the same with a condition that every row meets; by a key with many ties; and with the places of two rows exchanged."""
+    plain = "SELECT o_orderkey, o_custkey, o_totalprice FROM orders ORDER BY o_orderkey"
+    ties = "SELECT o_orderstatus, o_orderkey FROM orders ORDER BY o_orderstatus"
+    swapped = "SELECT o_orderkey, o_custkey, o_totalprice FROM orders ORDER BY CASE WHEN o_orderkey = (SELECT max(o_orderkey) FROM orders) THEN -1 WHEN o_orderkey = (SELECT min(o_orderkey) FROM orders) THEN (SELECT max(o_orderkey) FROM orders) ELSE o_orderkey END"
+    found = [
+        (name, r.execution, r.ori_execution, r.ori_execution_reason)
+        for name, r in (
+            ("equal", compare.verify(e, plain, "pg", BY_KEY, "mysql")),
+            ("ties", compare.verify(e, ties, "pg", ties.replace("ORDER BY o_orderstatus", "WHERE o_orderkey IS NOT NULL ORDER BY 1"), "mysql")),
+            ("swapped", compare.verify(e, plain, "pg", swapped, "pg")),
+        )
+    ]
+    return e.spark.createDataFrame(found, "which string, execution boolean, ori_execution boolean, reason string")
+
+
 NEG = "SELECT o_orderkey, o_custkey FROM orders"
 
 

@@ -56,6 +56,70 @@ def test_nested_cells(spark):
     assert compare.mismatches(x, y, tolerant=False) == 0
 
 
+@pytest.mark.parametrize("partitions", [2, 8, 200])
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+def test_ordered_comparison_over_partitions(spark, partitions, adaptive):
+    """Places hold whatever the number of partitions; a change that only one row has is one place, and two swapped rows are two."""
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    try:
+        e = Engine(spark, "/root/testdata/sf0.01")
+        plain = "SELECT o_orderkey, o_custkey, o_totalprice FROM orders ORDER BY o_orderkey"
+        r = compare.verify(e, plain, "pg", plain.replace("ORDER", "WHERE o_totalprice >= 0 ORDER"), "mysql")
+        assert (r.execution, r.ori_execution, r.ori_execution_reason) == (True, True, "")
+        one = plain.replace("o_totalprice FROM", "CASE WHEN o_orderkey = 777 THEN -1 ELSE o_totalprice END AS o_totalprice FROM")
+        assert compare.mismatches(e.run(plain, "pg"), e.run(one, "pg"), ordered=True, tolerant=False) == 1
+        swapped = plain.replace("ORDER BY o_orderkey", "ORDER BY CASE o_orderkey WHEN 10 THEN 11 WHEN 11 THEN 10 ELSE o_orderkey END")
+        assert compare.mismatches(e.run(plain, "pg"), e.run(swapped, "pg"), ordered=True, tolerant=False) == 2
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def test_peers(spark):
+    a = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (None, "d"), (None, "e")], "k int, v string")
+    b = spark.createDataFrame([(1, "b"), (1, "a"), (2, "c"), (None, "e"), (None, "d")], "k int, v string")
+    c = spark.createDataFrame([(1, "b"), (1, "c"), (2, "a"), (None, "e"), (None, "d")], "k int, v string")
+    a, b, c = (x.orderBy("k") for x in (a, b, c))
+    assert compare.mismatches(a, b, ordered=True, tolerant=False, peers=[0]) == 0
+    assert compare.mismatches(a, c, ordered=True, tolerant=False, peers=[0]) == 4
+    assert compare.mismatches(a, c, ordered=True, tolerant=True, peers=[0]) == 2
+    assert compare.mismatches(a, b.orderBy(F.desc("k")), ordered=True, peers=[0]) > 0
+
+
+def test_tolerance_over_several_numbers(spark):
+    """A difference within the tolerance in the first number mustn't pair rows by it alone."""
+    a = spark.createDataFrame([("k", 1.0, 5.0), ("k", 1.0000000001, 9.0), ("k", 7.0, 1.0)], "k string, x double, y double")
+    b = spark.createDataFrame([("k", 1.0000000001, 5.0), ("k", 1.0, 9.0), ("k", 7.0, 1.0)], "k string, x double, y double")
+    assert compare.mismatches(a, b, tolerant=False) == 4
+    assert compare.mismatches(a, b) == 0
+    assert compare.mismatches(a, b.withColumn("y", F.when(F.col("y") == 9.0, 9.1).otherwise(F.col("y")))) == 1
+    many = spark.range(500).select(F.lit("k").alias("k"), (1 + F.col("id") * 1e-10).alias("x"), F.col("id").cast("double").alias("y"))
+    back = spark.range(500).select(F.lit("k").alias("k"), (1 + (499 - F.col("id")) * 1e-10).alias("x"), F.col("id").cast("double").alias("y"))
+    assert compare.mismatches(many, back) == 0
+
+
+def test_cells_of_arrays(spark):
+    a = spark.createDataFrame([([1, 2, 3],)], "x array<int>")
+    b = spark.createDataFrame([([3, 2, 1],)], "x array<long>")
+    assert compare.mismatches(a, b, tolerant=False) == 2
+    assert compare.mismatches(a, b) == 0
+
+
+def test_faults_of_queries_and_of_the_cluster(spark, sf, monkeypatch):
+    e = Engine(spark, sf)
+    assert "ZERO" in compare.verify(e, "SELECT 1 / (n_nationkey - n_nationkey) AS x FROM nation", "pg", "SELECT 1 AS x", "pg").error.upper()
+    assert compare.verify_many(e, [("SELECT 1 AS x", "pg", "SELECT 1 AS x", "mysql"), ("SELECT n_name FROM nation", "pg", "SELECT r_name FROM region", "pg"), ("SELECT", "pg", "SELECT 1", "pg")]) == ["EQ", "UNKNOWN", "ERROR"]
+
+    def lost(*_, **__):
+        raise RuntimeError("executor lost")
+
+    monkeypatch.setattr(compare, "mismatches", lost)
+    with pytest.raises(RuntimeError):
+        compare.verify(e, "SELECT 1 AS x", "pg", "SELECT 2 AS x", "pg")
+
+
 def test_verify(spark, sf):
     e = Engine(spark, sf)
     r = compare.verify(e, "SELECT now() AS t, 1 AS x", "pg", "SELECT now() AS t, 1 AS x", "mysql")

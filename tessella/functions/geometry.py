@@ -207,6 +207,18 @@ def dimension(g) -> int:
     return 2 if g[0].endswith("POLYGON") else 1 if g[0].endswith("LINESTRING") else 0
 
 
+def touches(g, h) -> bool:
+    """Whether they meet, but only where at least one of them ends."""
+    if dimension(g) > dimension(h):
+        return touches(h, g)
+    if dimension(g) == 0:
+        ends = {tuple(p) for r in lines(h) if tuple(r[0]) != tuple(r[-1]) for p in (r[0], r[-1])} if dimension(h) == 1 else set()
+        where = [0 if tuple(p) in ends else place(p, h) for p in points(g)]
+        return dimension(h) > 0 and 0 in where and 1 not in where
+    inside = any(place(p, h) == 1 for p in points(g)) or any(place(p, g) == 1 for p in points(h)) if dimension(h) == 2 else any(_properly(a, b, c, d) for a, b in segments(g) for c, d in segments(h))
+    return intersects(g, h) and not inside
+
+
 # Codes of kinds in well-known binary.
 CODES = ["POINT", "LINESTRING", "POLYGON", "MULTIPOINT", "MULTILINESTRING", "MULTIPOLYGON", "GEOMETRYCOLLECTION"]
 
@@ -277,7 +289,7 @@ ONE = {
 }
 TWO = {
     "contains": (lambda g, h: float(contains(g, h)), "n"), "within": (lambda g, h: float(contains(h, g)), "n"), "intersects": (lambda g, h: float(intersects(g, h)), "n"), "disjoint": (lambda g, h: float(not intersects(g, h)), "n"), "distance": (distance, "n"),
-    "equals": (lambda g, h: float(contains(g, h) and contains(h, g) if polygons(g) or lines(g) else sorted(points(g)) == sorted(points(h))), "n"), "touches": (lambda g, h: float(intersects(g, h) and not any(place(p, h) == 1 for p in points(g)) and not any(place(p, g) == 1 for p in points(h))), "n"),
+    "equals": (lambda g, h: float(contains(g, h) and contains(h, g) if polygons(g) or lines(g) else sorted(points(g)) == sorted(points(h))), "n"), "touches": (lambda g, h: float(touches(g, h)), "n"),
     "crosses": (lambda g, h: float(crosses(g, h)), "n"), "overlaps": (lambda g, h: float(overlaps(g, h)), "n"),
     "mbroverlaps": (boxes(lambda x, y: float(x != y and x[0] < y[2] and y[0] < x[2] and x[1] < y[3] and y[1] < x[3] and not _holds(x, y) and not _holds(y, x))), "n"),
     "mbrtouches": (boxes(lambda x, y: float(x[0] <= y[2] and y[0] <= x[2] and x[1] <= y[3] and y[1] <= x[3] and not (x[0] < y[2] and y[0] < x[2] and x[1] < y[3] and y[1] < x[3]))), "n"),

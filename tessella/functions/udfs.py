@@ -236,6 +236,7 @@ def register(spark: SparkSession) -> None:
     add("json_change", "string", _json_change, 3)
     add("json_search", "string", lambda doc, how, what: search(json.loads(doc), how.lower() == "one", what), 3)
     add("json_depth", "int", lambda doc: depth(json.loads(doc)), 1)
+    add("json_pretty", "string", lambda doc: json.dumps(json.loads(doc), ensure_ascii=False, indent=2), 1)
     add("json_schema_valid", "int", lambda schema, doc: int(schema_fault(json.loads(schema), json.loads(doc)) is None), 2)
     add("json_schema_validation_report", "string", schema_report, 2)
     add("updatexml", "string", update_xml, 3)

@@ -47,6 +47,32 @@ class MoreFunctions:
         parts = ", ".join(f"parse_json({f})" for f in found)
         return f"nullif(to_json(filter(array({parts}), x -> x IS NOT NULL)), '[]')"
 
+    def json_element(self, a: Node) -> str:
+        """A value as JSON; what is JSON already stays as it is."""
+        x = self.expr(a)
+        if strip(a).kind == "call" and strip(a).name.startswith("json_") and strip(a).name not in ("json_value", "json_unquote", "json_type", "json_length", "json_depth", "json_valid"):
+            return f"coalesce({x}, 'null')"
+        return f"substring(to_json(array({x}), map('ignoreNullFields', 'false')), 2, length(to_json(array({x}), map('ignoreNullFields', 'false'))) - 2)"
+
+    def json_pair(self, key: Node, value: Node) -> str:
+        return f"concat('\"', {self.expr(key)}, '\"{':' if self.dialect == 'oracle' else ': '}', {self.json_element(value)})"
+
+    def json_glue(self) -> str:
+        return "','" if self.dialect == "oracle" else "', '"
+
+    def f_json_array(self, e):
+        return f"concat('[', concat_ws({self.json_glue()}, {', '.join(map(self.json_element, e.args))}), ']')" if e.args else "'[]'"
+
+    def f_json_object(self, e):
+        pairs = ", ".join(self.json_pair(k, v) for k, v in zip(e.args[::2], e.args[1::2], strict=True))
+        return f"concat('{{', concat_ws({self.json_glue()}, {pairs}), '}}')" if e.args else "'{}'"
+
+    def f_json_arrayagg(self, e):
+        return f"concat('[', array_join(collect_list({self.json_element(e.args[0])}), {self.json_glue()}), ']')"
+
+    def f_json_objectagg(self, e):
+        return f"concat('{{', array_join(collect_list({self.json_pair(*e.args)}), {self.json_glue()}), '}}')"
+
     # regular expressions and texts
 
     def f_regexp_match(self, e):
@@ -127,8 +153,32 @@ class MoreFunctions:
         kind = strip(e.args[0])
         return text(GET_FORMATS[kind.parts["parts"][-1].text.upper(), strip(e.args[1]).text.upper()])
 
+    def f_export_set(self, e):
+        bits, on, off, *rest = [self.expr(a) for a in e.args]
+        sep, n = rest[0] if rest else "','", rest[1] if len(rest) > 1 else "64"
+        return f"array_join(transform(sequence(0, least(64, {n}) - 1), i -> CASE WHEN (shiftright({bits}, i) & 1) = 1 THEN {on} ELSE {off} END), {sep})"
+
+    def f_overlay(self, e):
+        """Without FOR as many characters go as come."""
+        if len(e.args) != 3:
+            return None
+        x, new, start = [self.expr(a) for a in e.args]
+        return f"overlay({x} PLACING {new} FROM {start} FOR length({new}))"
+
+    def f_regexp_split_to_table(self, e):
+        return f"explode(split({self.expr(e.args[0])}, {self.expr(e.args[1])}))"
+
+    def f_string_to_table(self, e):
+        return f"explode(split({self.expr(e.args[0])}, concat('\\\\Q', {self.expr(e.args[1])}, '\\\\E')))"
+
     # XML
 
+    def f_xmlpi(self, e):
+        tag = strip(e.args[0])
+        name = tag.parts["parts"][-1].text if tag.kind == "column" else tag.text
+        rest = f", ' ', {self.expr(e.args[1])}" if len(e.args) > 1 else ""
+        return f"concat('<?{name}'{rest}, '?>')"
+
     def f_xmlparse(self, e):
         x = self.expr(e.args[0])
         whole = x if strip(e.args[1]).text == "DOCUMENT" else f"concat('<r>', {x}, '</r>')"

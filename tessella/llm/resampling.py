@@ -25,8 +25,6 @@ TARGET_ROWS = 20_000
 #: Occurrences at the target's overall share that are added to each bucket, so that rare n-grams of the sample say little.
 SMOOTHING = 30.0
 SEED = 11
-#: n-grams from which a document's weight counts in full; the weight of a longer one is scaled down to so many.
-FULL_LENGTH = 200
 
 
 def gram_buckets(texts: pa.Array):
@@ -78,20 +76,21 @@ def fit(docs: DataFrame, labels: DataFrame) -> np.ndarray:
 
 
 def weigh(docs: DataFrame, ratios: np.ndarray) -> DataFrame:
-    """(doc_id, n_grams, log_weight) for each row."""
+    """(doc_id, t, n_grams, log_weight) for each row; t is a hash of the text."""
     known = docs.sparkSession.sparkContext.broadcast(ratios)
 
     def run(batches):
         for batch in batches:
             n, weight = [], []
-            for _, _, buckets, first in gram_buckets(batch.column(1)):
+            for _, _, buckets, first in gram_buckets(batch.column(2)):
                 total = np.concatenate([[0.0], np.cumsum(known.value[buckets])])
                 n.append(np.diff(first))
                 weight.append(total[first[1:]] - total[first[:-1]])
             whole = [np.concatenate(x) if x else np.zeros(0) for x in (n, weight)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(whole[0].astype(np.int64)), pa.array(whole[1])], names=["doc_id", "n_grams", "log_weight"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(whole[0].astype(np.int64)), pa.array(whole[1])], names=["doc_id", "t", "n_grams", "log_weight"])
 
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_grams long, log_weight double")
+    text = F.col("text").cast("string")
+    return docs.select("doc_id", F.xxhash64(text).alias("t"), text.alias("text")).mapInArrow(run, "doc_id long, t long, n_grams long, log_weight double")
 
 
 def gumbel(seed: int, *key: str) -> Column:
@@ -125,20 +124,21 @@ def kth_largest(df: DataFrame, column: str, k: int) -> float | None:
     return low
 
 
-def resample(docs: DataFrame, labels: DataFrame, share: float | None = None, seed: int = SEED) -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, share: float | None = None, seed: int = SEED, full_length: int | None = None) -> DataFrame:
     """One row per document: doc_id, n_grams, log_weight, kept.
 
-    k is `share` of the documents; by default the share of quality 1 among the labels. Weights of documents
-    over FULL_LENGTH n-grams are scaled to that length, so that length alone decides nothing. Rows with equal
-    keys at the limit, such as repeated rows, are kept alike. Null and empty texts have weight 1. Without
-    labels everything is kept.
+    k is `share` of the documents; by default the share of quality 1 among the labels. The log weight is the sum
+    over all n-grams; with full_length, the weight that is sampled by is scaled down to that of so many n-grams.
+    Noise is fixed by id and text, so that documents of one id, or of none, are drawn apart; repeated rows, which
+    have both in common, are kept alike. Null and empty texts have weight 1. Without labels everything is kept.
+    Columns other than doc_id and text are not read; an empty table gives no rows.
     """
     scored = common.stage(weigh(docs, fit(docs, labels)), "weights")
     if share is None:
         n, good = labels.agg(F.count("quality"), F.sum("quality")).first()
         share = good / n if n and good else 1.0
-    key = F.col("log_weight") * F.least(F.lit(1.0), F.lit(float(FULL_LENGTH)) / F.greatest("n_grams", F.lit(1))) + gumbel(seed, "doc_id")
-    keyed = scored.withColumn("_key", key)
+    weight = F.col("log_weight") * F.least(F.lit(1.0), F.lit(float(full_length)) / F.greatest("n_grams", F.lit(1))) if full_length else F.col("log_weight")
+    keyed = scored.withColumn("_key", weight + gumbel(seed, "doc_id", "t"))
     least = kth_largest(keyed, "_key", math.ceil(share * scored.count()))
     return keyed.select("doc_id", "n_grams", "log_weight", (F.col("_key") >= F.lit(least if least is not None else math.inf)).alias("kept"))
 

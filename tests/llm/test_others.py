@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 import random
 import re
 import zlib
@@ -10,6 +11,7 @@ from collections import Counter
 import numpy as np
 import pytest
 import public_tokenizers
+import xxhash
 from tokenizers import Tokenizer
 
 from tessella.llm import components, decontaminate, ngram_join, packing, resampling, sharding, url_filter
@@ -78,6 +80,45 @@ def test_weights_by_brute_force(spark, docs):
     assert np.allclose([g[2] for g in sorted(got)], [w[2] for w in sorted(want)], atol=1e-5)
 
 
+def test_fit_key_and_choice_by_brute_force(spark):
+    """Models counted over n-grams as words, noise from the published hash, and the k largest keys."""
+    rng = random.Random(3)
+    vocabulary = ["".join(rng.choice("abcdefghé") for _ in range(5)) for _ in range(40)]
+    plain = [(i, " ".join(rng.choice(vocabulary[: 20 if i % 3 == 1 else 40]) for _ in range(rng.randint(1, 25)))) for i in range(40)]
+    plain += [(None, "Alone"), (None, "also alone"), (7, plain[7][1]), (50, ""), (51, None)]
+    good_ids = {i for i, _ in plain if i is not None and i % 3 == 1}
+    df = spark.createDataFrame(plain, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i in good_ids), 0) for i in range(52)], "doc_id long, quality int, toxic int")
+
+    def grams(t):
+        ws = re.findall("[^\x20\x09-\x0d]+", (t or "").lower())
+        return [(w,) for w in ws] + list(itertools.pairwise(ws))
+
+    raw, good = Counter(), Counter()
+    for i, t in plain:
+        raw.update(grams(t))
+        if i in good_ids:
+            good.update(grams(t))
+    buckets = {b for _, _, found, _ in resampling.gram_buckets(df.select("text").toArrow().column(0).combine_chunks()) for b in found.tolist()}
+    assert len(buckets) == len(raw)  # no two n-grams share one, so the models are those of n-grams
+    share = sum(good.values()) / sum(raw.values())
+    ratio = {g: math.log((good[g] + 30 * share) / (raw[g] + 30) / share) for g in raw}
+
+    def noise(i, t):
+        h = 42
+        text_hash = xxhash.xxh64(t.encode(), seed=42).intdigest() if t is not None else 42
+        for part in ([] if i is None else [i.to_bytes(8, "little")]) + [text_hash.to_bytes(8, "little"), (11).to_bytes(4, "little")]:
+            h = xxhash.xxh64(part, seed=h).intdigest()
+        return -math.log(-math.log(((h >> 12) + 0.5) / 2**52))
+
+    weight = [sum(ratio[g] for g in grams(t)) for _, t in plain]
+    keys = [w + noise(i, t) for (i, t), w in zip(plain, weight, strict=True)]
+    least = sorted(keys, reverse=True)[math.ceil(0.4 * len(plain)) - 1]
+    want = [(str(i), len(grams(t)), round(w, 6), k >= least) for (i, t), w, k in zip(plain, weight, keys, strict=True)]
+    got = [(str(r["doc_id"]), r["n_grams"], round(r["log_weight"], 6), r["kept"]) for r in resampling.resample(with_clashes(df), labels, share=0.4).collect()]
+    assert sorted(got) == sorted(want)
+
+
 def test_kth_largest(spark):
     rng = random.Random(2)
     values = [rng.gauss(0, 1) ** 3 for _ in range(3000)] + [0.5] * 300 + [1e9]

@@ -26,7 +26,7 @@ ASSIGN_FROM, ACCESS_FROM = 6, 20
 TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 SIDE = len(ALPHABET)
-#: Log-likelihood ratio a character from which a token is a secret, and character classes that it must mix.
+#: Log-likelihood ratio a character from which a token is a secret, whatever characters it is made of.
 RATIO_FROM = 0.35
 #: Matches whose places are added up one by one; whole groups of so many are added up first.
 GROUP = 256
@@ -113,7 +113,7 @@ def scan(text: Column, ratios: Column, ratio_from: float = RATIO_FROM) -> Column
         spans(whole, ACCESS, "access", 1, lambda w: F.length(w) >= ACCESS_FROM),
         spans(whole, HEX, "hex", 2),
     )
-    tokens = spans(whole, TOKEN, "model", 3, lambda w: w.rlike("[0-9]") & w.rlike("[A-Za-z]") & (log_ratio(w, ratios) >= ratio_from))
+    tokens = spans(whole, TOKEN, "model", 3, lambda w: log_ratio(w, ratios) >= ratio_from)
     return let(F.sort_array(base), lambda b: F.struct(b.alias("base"), F.filter(tokens, lambda t: ~F.exists(b, lambda x: (x["start"] < t["end"]) & (t["start"] < x["end"]))).alias("found")))
 
 

@@ -1,7 +1,7 @@
 """URL filters (operator 3): a trie over reversed host labels, then path segments, broadcast to the scan.
 
-Rules come as (verdict, "host/path") text. The longest fitting rule wins: more host labels first, then the
-longer path; of an allow and a block entry with the same text, block wins. The trie is broadcast while its
+Rules come as (verdict, "host/path") text. The longest fitting rule wins, by the length of its whole text; of
+two of one length, the one of more host labels; of an allow and a block entry with the same text, block. The trie is broadcast while its
 entries take at most BROADCAST_BYTES; larger lists go by a join on the host suffixes and path prefixes that
 occur among the rules' lengths.
 """
@@ -26,6 +26,21 @@ RULES = [
 DEFAULT = "allow"
 
 
+class Ends(dict):
+    """(verdict, rule) by the start of a segment that ends a rule's path; and the lengths of those starts, longest first."""
+
+    def __init__(self):
+        self.lengths: list[int] = []
+
+    def add(self, start: str, verdict: str, rule: str) -> None:
+        if self.get(start, ("",))[0] != "block":
+            self[start] = (verdict, rule)
+        self.lengths = sorted({*self.lengths, len(start)}, reverse=True)
+
+    def longest(self, segment: str) -> tuple[str, str] | None:
+        return next((self[segment[:n]] for n in self.lengths if n <= len(segment) and segment[:n] in self), None)
+
+
 class Trie:
     """Host labels from the right, then path segments; the end of a rule's path is a prefix of a segment."""
 
@@ -40,29 +55,28 @@ class Trie:
             node = node.setdefault(None, {})  # no label is None: below it stand paths
             for segment in whole:
                 node = node.setdefault(segment, {})
-            ends = node.setdefault(None, {})
-            if ends.get(last, ("",))[0] != "block":
-                ends[last] = (verdict, rule)
+            node.setdefault(None, Ends()).add(last, verdict, rule)
 
     def find(self, host: str, path: str) -> tuple[str, str] | None:
         """(verdict, rule) of the longest rule that fits."""
-        node, best = self.hosts, None
-        segments = path.split("/")[1:]
+        if not path:
+            return None
+        node, best, segments = self.hosts, None, path.split("/")[1:]
         for label in reversed(host.split(".")):
             node = node.get(label)
             if node is None:
                 break
-            if path and None in node:
-                best = self._below(node[None], segments) or best
+            found = self._below(node[None], segments) if None in node else None
+            if found and (best is None or len(found[1]) >= len(best[1])):
+                best = found
         return best
 
     @staticmethod
     def _below(node: dict, segments: list[str]) -> tuple[str, str] | None:
         best = None
         for segment in segments:
-            ends = node.get(None)
-            if ends:
-                best = next((ends[segment[:n]] for n in range(len(segment), -1, -1) if segment[:n] in ends), best)
+            if None in node:
+                best = node[None].longest(segment) or best
             node = node.get(segment)
             if node is None:
                 break
@@ -115,5 +129,5 @@ def _by_join(seen: DataFrame, rules: list[tuple[str, str]], default: str) -> Dat
         .withColumn("_n", F.explode(F.filter(lengths, lambda n: n <= F.length("path"))))
         .withColumn("rule", F.concat(F.expr("substring_index(host, '.', -_d)"), F.expr("substring(path, 1, _n)")))
     )
-    best = keys.join(listed, "rule").groupBy("host", "path").agg(F.max(F.struct("_d", "_n", "rule", "verdict")).alias("_best"))
+    best = keys.join(listed, "rule").groupBy("host", "path").agg(F.max(F.struct(F.length("rule").alias("_l"), "_d", "rule", "verdict")).alias("_best"))
     return seen.join(best, ["host", "path"], "left").select("page_id", "host", "path", "_best.rule", F.coalesce("_best.verdict", F.lit(default)).alias("verdict"))

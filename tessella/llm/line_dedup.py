@@ -1,8 +1,10 @@
 """Line dedup (operator 5): a deletion-neighbourhood join over the words of lines.
 
-A line of five words or more is dropped if an equal line, or one at most one word edit away (a word put in,
-left out or exchanged, so four words in five agree at least), stands earlier: in a document of smaller id, or
-further up in the same one. Shorter lines are left alone. Words are what stands between single spaces.
+A line is dropped if an equal line, of any length, stands earlier: in a document of smaller id, or further up in
+the same one. A line of five words or more is also dropped if another such line at most one word edit away (a
+word put in, left out or exchanged, so four words in five agree at least) stands earlier; in shorter lines one
+edit would leave less than 0.8 alike. Words are what stands between single spaces, once spaces at the ends are
+cut off; what is empty then is no line that counts.
 
 1. Equal lines meet by their digest; only distinct lines go on.
 2. Of two lines one edit apart, the first or the last half of the longer one's words, less one, is untouched.
@@ -23,9 +25,12 @@ from pyspark.sql import functions as F
 from . import common
 from .common import let
 
+#: Words from which lines one edit apart are near.
 MIN_WORDS = 5
-#: Bits of the filter that lets lines through to the join with those of step 3; 64 to a broadcast row, so at most 131,072 rows.
-FILTER_BITS = 1 << 23
+#: Bits a line of step 3, and at most, of the filter that lets lines through to the join with those; 64 to a broadcast row, so at most 2 ** 20 rows.
+FILTER_BITS_A_LINE, FILTER_BITS_MOST = 16, 1 << 26
+#: A line that is more than one in so many of all occurrences is hot; there are at most so many of them, which are broadcast.
+HOT_ONE_IN = 2000
 
 
 def n_words(line: Column) -> Column:
@@ -45,13 +50,13 @@ def half_keys(line: Column, n: Column) -> dict[str, Column]:
     out = {}
     for name, which, side, _ in HALVES:
         label = _label(n, which)
-        key = F.xxhash64(label, F.lit(side), F.call_function("substring_index", line, F.lit(" "), (label - 1) * side))
+        key = F.when(n >= MIN_WORDS, F.xxhash64(label, F.lit(side), F.call_function("substring_index", line, F.lit(" "), (label - 1) * side)))
         out[name] = key if not which else F.when(n % 2 == 1, key)  # for even n the labels are one
     return out
 
 
 def _place(id_: str, t: str, no: str) -> Column:
-    """A line's place in the order of documents and lines as one number, which aggregates without sorting."""
+    """A line's place in the order of documents and lines as one number, which aggregates without sorting; of texts of one id, the order is by eight digits of their hash."""
     wide = lambda c: c.cast("decimal(19,0)")
     return (wide(F.col(id_)) * wide(F.lit(10**18)) + (F.pmod(F.col(t), F.lit(10**8)) * F.lit(10**10) + F.col(no)).cast("decimal(19,0)")).cast("decimal(38,0)")
 
@@ -60,7 +65,7 @@ def _exploded(docs: DataFrame) -> DataFrame:
     """(id, t, no, line, n) for lines that count, where (id, t) names a document: repeated rows are named alike."""
     text = F.col("text").cast("string")
     named = docs.select(F.coalesce(F.col("doc_id"), F.lit(common.LAST_ID)).alias("id"), F.xxhash64(text).alias("t"), F.posexplode(F.split(text, "\n")).alias("no", "line"))
-    return named.withColumn("line", F.trim("line")).withColumn("n", n_words(F.col("line"))).filter(F.col("n") >= MIN_WORDS)
+    return named.withColumn("line", F.trim("line")).withColumn("n", n_words(F.col("line"))).filter(F.col("line") != "")
 
 
 def _xor(values: Column) -> Column:
@@ -128,8 +133,9 @@ def within_one_edit(a: Column, b: Column) -> Column:
 
 
 def _likely(df: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
-    """Rows of df whose key may be in wanted: all that are, and few others while wanted is small against FILTER_BITS."""
-    bit = F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
+    """Rows of df whose key may be in wanted: all that are, and few others while wanted is small against FILTER_BITS_MOST."""
+    bits = min(max(1 << 16, 1 << (FILTER_BITS_A_LINE * wanted.count()).bit_length()), FILTER_BITS_MOST)
+    bit = F.pmod(F.xxhash64(key), F.lit(bits))
     cut = lambda d: d.withColumn("_bit", bit).withColumn("_cell", F.floor(F.col("_bit") / 64).cast("int")).withColumn("_off", (F.col("_bit") % 64).cast("int"))
     cells = cut(wanted.select(key)).groupBy("_cell").agg(F.bit_or(F.expr("shiftleft(1L, _off)")).alias("_bits"))
     return cut(df).join(F.broadcast(cells), "_cell").filter("shiftright(_bits, _off) & 1 = 1").drop("_bit", "_cell", "_off", "_bits")
@@ -168,10 +174,16 @@ def _dropped(docs: DataFrame) -> DataFrame:
         .distinct()
         .withColumn("near", F.lit(True))
     )
-    gone = lines.select("h", "g", "first", "times").join(verified, ["h", "g"], "left").filter("times > 1 OR near").select("h", "g", "first", F.coalesce("near", F.lit(False)).alias("near"))
-    later = seen.select("h", "g", "id", "t", "no").join(gone.hint("merge"), ["h", "g"]).filter(F.col("near") | (_place("id", "t", "no") != F.col("first")))
+    gone = lines.select("h", "g", "first", "times").join(verified, ["h", "g"], "left").filter("times > 1 OR near").select("h", "g", "first", "times", F.coalesce("near", F.lit(False)).alias("near"))
+    # lines that hold a large share of all occurrences meet theirs by broadcast, the others by merge
+    total = lines.agg(F.sum("times")).first()[0] or 0
+    gone = common.stage(gone, "gone-lines")
+    hot = F.broadcast(gone.filter(F.col("times") * HOT_ONE_IN > total))
+    each = seen.select("h", "g", "id", "t", "no")
+    rest = each.join(hot.select("h", "g"), ["h", "g"], "left_anti").join(gone.filter(F.col("times") * HOT_ONE_IN <= total).hint("merge"), ["h", "g"])
+    later = each.join(hot, ["h", "g"]).unionByName(rest).filter(F.col("near") | (_place("id", "t", "no") != F.col("first")))
     out = common.stage(later.groupBy("id", "t").agg(F.collect_set("no").alias("lines")), "dropped-lines")
-    for done in (seen, lines, near, texts):
+    for done in (seen, lines, near, texts, gone):
         common.unstage(done)
     return out
 

@@ -55,16 +55,16 @@ def queries() -> dict:
 ORACLE_SQL: dict[str, str] = {
     "op3_url_filter": r"""
 WITH seen AS (
-  SELECT page_id,
+  SELECT page_id, row_number() OVER () AS n,
     translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
     regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) AS path
   FROM pages),
 rules(rule, verdict) AS (VALUES ('com/en/', 'block'), ('example.com/en/7', 'allow'), ('net/de/', 'allow'), ('example.net/de/8', 'block'), ('org/es/', 'block')),
 cut AS (SELECT rule, verdict, split_part(rule, '/', 1) AS rule_host, substr(rule, length(split_part(rule, '/', 1)) + 1) AS rule_path FROM rules)
 SELECT page_id, host, path, arg_max(rule, length(rule)) AS rule, coalesce(arg_max(verdict, length(rule)), 'allow') AS verdict
-FROM (SELECT s.*, c.rule, c.verdict, row_number() OVER () AS n FROM seen s LEFT JOIN cut c
+FROM (SELECT s.*, c.rule, c.verdict FROM seen s LEFT JOIN cut c
   ON (s.host = c.rule_host OR ends_with(s.host, '.' || c.rule_host)) AND starts_with(s.path, c.rule_path))
-GROUP BY page_id, host, path""",
+GROUP BY n, page_id, host, path""",
     "op2_suffix_dedup": r"""
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
 chunks AS (SELECT doc_id, length(h) // 2 - 49 - 100 * k AS n, 100 * k AS base, substr(h, 200 * k + 1, 300) AS c FROM (SELECT doc_id, h, unnest(range(0, (length(h) // 2 - 49 + 99) // 100)) AS k FROM d)),
@@ -84,13 +84,14 @@ FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN counted USING (doc_id)""",
     "op5_line_dedup": r"""
 WITH cut AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents),
 every AS (SELECT doc_id, unnest(range(1, len(lines) + 1)) AS no, unnest(lines) AS line FROM cut),
-counting AS (SELECT doc_id, no, trim(line, ' ') AS x FROM every WHERE len(string_split(trim(line, ' '), ' ')) >= 5),
+counting AS (SELECT doc_id, no, trim(line, ' ') AS x FROM every WHERE trim(line, ' ') <> ''),
 lines AS (SELECT x, min({'d': doc_id, 'n': no}) AS first, string_split(x, ' ') AS w FROM counting GROUP BY x),
-variants AS (SELECT x, first, len(w) AS n, p, array_to_string(list_concat(w[1 : p - 1], w[p + 1 :]), ' ') AS v FROM (SELECT *, unnest(range(1, len(w) + 1)) AS p FROM lines)),
+long AS (SELECT * FROM lines WHERE len(w) >= 5),
+variants AS (SELECT x, first, len(w) AS n, p, array_to_string(list_concat(w[1 : p - 1], w[p + 1 :]), ' ') AS v FROM (SELECT *, unnest(range(1, len(w) + 1)) AS p FROM long)),
 near AS (
   SELECT x FROM (SELECT x, first, min(first) OVER (PARTITION BY n, p, v) AS least FROM variants) WHERE least < first
-  UNION SELECT variants.x FROM variants JOIN lines ON variants.v = lines.x WHERE lines.first < variants.first
-  UNION SELECT lines.x FROM variants JOIN lines ON variants.v = lines.x WHERE variants.first < lines.first),
+  UNION SELECT variants.x FROM variants JOIN long ON variants.v = long.x WHERE long.first < variants.first
+  UNION SELECT long.x FROM variants JOIN long ON variants.v = long.x WHERE variants.first < long.first),
 gone AS (SELECT c.doc_id, c.no FROM counting c JOIN lines l USING (x) LEFT JOIN near USING (x) WHERE near.x IS NOT NULL OR l.first <> {'d': c.doc_id, 'n': c.no}),
 rest AS (SELECT e.doc_id, string_agg(e.line, chr(10) ORDER BY e.no) AS text FROM every e LEFT JOIN gone g ON g.doc_id = e.doc_id AND g.no = e.no WHERE g.no IS NULL GROUP BY e.doc_id),
 dropped AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)

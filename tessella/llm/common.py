@@ -104,6 +104,21 @@ def utf8_bytes(text: Column) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
 
 
+#: A key that holds more than one in so many of all rows is hot; there are at most so many of them.
+HOT_ONE_IN = 2000
+
+
+def join_counted(rows: DataFrame, keyed: DataFrame, on: list[str], times: str, total: int) -> DataFrame:
+    """rows joined with keyed, which has one row for each key and in `times` how many of the `total` rows have it.
+
+    Hot keys, HOT_ONE_IN of them at most, are broadcast, so their rows stay where they are; the others meet by
+    merge. Both should be cheap to read twice. The column `times` goes.
+    """
+    hot = F.broadcast(keyed.filter(F.col(times) * HOT_ONE_IN > total).drop(times))
+    rest = rows.join(hot.select(*on), on, "left_anti").join(keyed.filter(F.col(times) * HOT_ONE_IN <= total).drop(times).hint("merge"), on)
+    return rows.join(hot, on).unionByName(rest)
+
+
 def number_slots(df: DataFrame, key: str, order: list[str], out: str, rows_a_slice: int = 50_000, least_slices: int = 16) -> DataFrame:
     """Add out: gapless numbers from 0 within each key, with no task that sees all rows of a key.
 

@@ -15,10 +15,13 @@ def _both_ways(edges: DataFrame) -> DataFrame:
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """Link the neighbours of each node to the smallest of them or the node itself: those above the node (large star), or those below and the node (small star)."""
+    """Link the neighbours of each node to the smallest of them or the node itself: those above the node (large star), or those below and the node (small star).
+
+    The neighbours of a hub, a node with a large share of all edges, don't meet in one task.
+    """
     near = _both_ways(edges) if large else edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = near.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    joined = near.join(least, "a")
+    least = near.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count(F.lit(1)).alias("times"))
+    joined = common.join_counted(near, least, ["a"], "times", edges.count())
     if large:
         out = joined.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
@@ -34,9 +37,10 @@ def connected(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     now = common.stage(edges.filter("a != b").select("a", "b").distinct(), "edges")
     before = None
     for _ in range(rounds):
-        new = common.stage(_star(_star(now, large=True), large=False), "edges")
+        half = common.stage(_star(now, large=True), "edges")
         common.unstage(now)
-        now = new
+        now = common.stage(_star(half, large=False), "edges")
+        common.unstage(half)
         at = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
         if at == before:
             break

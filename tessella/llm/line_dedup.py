@@ -29,8 +29,6 @@ from .common import let
 MIN_WORDS = 5
 #: Bits a line of step 3, and at most, of the filter that lets lines through to the join with those; 64 to a broadcast row, so at most 2 ** 20 rows.
 FILTER_BITS_A_LINE, FILTER_BITS_MOST = 16, 1 << 26
-#: A line that is more than one in so many of all occurrences is hot; there are at most so many of them, which are broadcast.
-HOT_ONE_IN = 2000
 
 
 def n_words(line: Column) -> Column:
@@ -175,13 +173,10 @@ def _dropped(docs: DataFrame) -> DataFrame:
         .withColumn("near", F.lit(True))
     )
     gone = lines.select("h", "g", "first", "times").join(verified, ["h", "g"], "left").filter("times > 1 OR near").select("h", "g", "first", "times", F.coalesce("near", F.lit(False)).alias("near"))
-    # lines that hold a large share of all occurrences meet theirs by broadcast, the others by merge
     total = lines.agg(F.sum("times")).first()[0] or 0
     gone = common.stage(gone, "gone-lines")
-    hot = F.broadcast(gone.filter(F.col("times") * HOT_ONE_IN > total))
-    each = seen.select("h", "g", "id", "t", "no")
-    rest = each.join(hot.select("h", "g"), ["h", "g"], "left_anti").join(gone.filter(F.col("times") * HOT_ONE_IN <= total).hint("merge"), ["h", "g"])
-    later = each.join(hot, ["h", "g"]).unionByName(rest).filter(F.col("near") | (_place("id", "t", "no") != F.col("first")))
+    each = common.join_counted(seen.select("h", "g", "id", "t", "no"), gone, ["h", "g"], "times", total)
+    later = each.filter(F.col("near") | (_place("id", "t", "no") != F.col("first")))
     out = common.stage(later.groupBy("id", "t").agg(F.collect_set("no").alias("lines")), "dropped-lines")
     for done in (seen, lines, near, texts, gone):
         common.unstage(done)

@@ -39,8 +39,6 @@ RATIO = 1.5
 MU = 0.0085
 #: Shingles are counted in so many buckets; those of buckets above the mean by so many standard deviations, and by so many, are common.
 BUCKET_BITS, COMMON_SIGMAS, COMMON_LEAST = 20, 10, 16
-#: Merges of up to this many entries go by a heap, larger ones by counting; both give the same counts.
-HEAP_ENTRIES = 512
 
 
 def shingle_sets(texts: pa.Array, n: int):
@@ -215,10 +213,8 @@ class Index:
         return self.shingles[at], self.starts[at], self.ends[at]
 
     def merge(self, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(documents, number of these lists that each is on)."""
+        """(documents, number of these lists that each is on), by a heap over the lists."""
         runs = [self.holder[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-        if sum(map(len, runs)) > HEAP_ENTRIES:
-            return np.unique(np.concatenate(runs), return_counts=True)
         docs: list[int] = []
         counts: list[int] = []
         for doc in heapq.merge(*[r.tolist() for r in runs]):
@@ -277,13 +273,14 @@ def components(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, block:
     """(doc, n_shingles, component) for each row of docs (doc_id, text); doc and component have LAST_ID for null."""
     named = docs.select(F.coalesce(F.col("doc_id"), F.lit(common.LAST_ID)).alias("doc"), F.col("text").cast("string").alias("text"))
     seen = common.stage(_sets(named, n), "shingle-sets")
-    reps = common.stage(seen.filter("n > 0").groupBy("a", "b", "n").agg(F.min("doc").alias("rep")), "shingle-classes")
+    reps = common.stage(seen.filter("n > 0").groupBy("a", "b", "n").agg(F.min("doc").alias("rep"), F.count(F.lit(1)).alias("times")), "shingle-classes")
+    with_sets = reps.agg(F.sum("times")).first()[0] or 0
+    of = common.stage(common.join_counted(seen.filter("n > 0"), reps, ["a", "b", "n"], "times", with_sets).select("doc", "rep", "n"), "shingle-members")
     # 2. chains through the documents of each key, between the classes that they belong to
     common_buckets = docs.sparkSession.sparkContext.broadcast(_common(named, n))  # 2 ** BUCKET_BITS truth values
     by_key = _keys(named, n, percent, common_buckets).select(F.col("doc").alias("y"), F.lag("doc").over(W.partitionBy("key").orderBy("doc")).alias("x"))
     chained = common.stage(by_key.filter("x IS NOT NULL AND x != y").distinct(), "chains")
     common.release(docs.sparkSession)
-    of = seen.filter("n > 0").join(reps, ["a", "b", "n"]).select("doc", "rep")
     edges = chained.join(of.select(F.col("doc").alias("x"), F.col("rep").alias("a")), "x").join(of.select(F.col("doc").alias("y"), F.col("rep").alias("b")), "y").select("a", "b")
     near = common.stage(connected(edges), "neighbourhoods")
     common.unstage(chained)
@@ -295,8 +292,8 @@ def components(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, block:
     cells = members.groupBy("component", "k").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("cuts"), F.count(F.lit(1)).alias("m"))
     sizes = cells.groupBy("component").agg(F.sum("m").alias("size"))
     small = members.join(sizes, "component").filter(F.col("size") <= block)
-    bins = small.select("doc", "component", F.lit(0).alias("own"), F.lit(-1).cast("long").alias("hood"), F.pmod(F.xxhash64("component"), F.lit(tasks)).cast("int").alias("i"), F.lit(-1).alias("j"))
-    code = lambda k, at: k * F.lit(100_000) + at
+    bins = small.select("doc", "component", F.lit(0).cast("long").alias("own"), F.lit(-1).cast("long").alias("hood"), F.pmod(F.xxhash64("component"), F.lit(tasks)).alias("i"), F.lit(-1).cast("long").alias("j"))
+    code = lambda k, at: F.shiftleft(k.cast("long"), 32) + at
     near_cells = cells.select("component", F.explode(F.array(F.col("k") - 1, F.col("k"), F.col("k") + 1)).alias("k"), F.col("k").alias("other"), F.col("cuts").alias("other_cuts"))
     large = members.join(sizes, "component").filter(F.col("size") > block).join(cells.select("component", "k", "cuts"), ["component", "k"])
     own = F.pmod(F.xxhash64("doc"), F.col("cuts")).cast("int")
@@ -328,7 +325,7 @@ def components(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, block:
 
     found = texts.groupBy("hood", "i", "j").applyInArrow(search, "a long, b long")
     # documents of a class are linked too, and so are repeated rows of one id
-    same = seen.filter("n > 0").join(reps.select("a", "b", "n", "rep"), ["a", "b", "n"]).filter("doc != rep").select(F.col("doc").alias("a"), F.col("rep").alias("b"))
+    same = of.filter("doc != rep").select(F.col("doc").alias("a"), F.col("rep").alias("b"))
     joined = connected(found.unionByName(same))
     return seen.join(joined, seen["doc"] == joined["node"], "left").select("doc", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component", "doc")).otherwise(F.col("doc")).alias("component"))
 

@@ -20,17 +20,29 @@ class Engine:
         self.spark, self.directory, self.tables = spark, directory, set(tables)
         self.extra: dict[str, DataFrame] = {}
         self.opened: dict[str, DataFrame] = {}
+        self.keys: dict[str, list[str]] = {}
 
     def table(self, name: str) -> DataFrame:
         if name not in self.opened:
             self.opened[name] = self.extra[name] if name in self.extra else self.spark.read.parquet(f"{self.directory}/{name}.parquet")
         return self.opened[name]
 
-    def add(self, name: str, df: DataFrame) -> Engine:
+    def add(self, name: str, df: DataFrame, key: list[str] | None = None) -> Engine:
+        """A table of the engine's own; its key, where one is given or declared, is what ON DUPLICATE KEY goes by."""
         self.extra[name] = df
+        if key:
+            self.keys[name] = key
         self.opened.pop(name, None)
         return self
 
+    def key(self, name: str) -> list[str]:
+        """The primary key of a table, as given to add or declared in its schema; none where neither is."""
+        return self.keys.get(name) or [f.name for f in self.table(name).schema if (f.metadata or {}).get("primary_key")]
+
+    def isolated(self) -> Engine:
+        """An engine over the same folder in a session of its own: settings, views and functions of one don't reach the other. Tables that were added stay behind, as they belong to their session."""
+        return Engine(self.spark.newSession(), self.directory, self.tables)
+
     def catalog(self, sql: str, dialect: str) -> dict[str, dict[str, str]]:
         """Column types of the tables that sql names; each becomes a view."""
         words = {t.text.lower() for t in tokens(sql, dialect) if t.kind in ("word", "quoted")}

@@ -273,8 +273,39 @@ def insert_statements(table: str, rows: list[tuple], dialect: str) -> list[str]:
     return [*out, head + ", ".join(now)] if now else out
 
 
+def index_ddl(t: Table, dialect: str) -> list[str]:
+    quote = "`{}`" if dialect == "mysql" else '"{}"'
+    return [f"CREATE INDEX {quote.format(f'idx_{t.name}_{k}')} ON {quote.format(t.name)} ({', '.join(quote.format(c) for c in cols)})" for k, cols in enumerate(t.indexes)]
+
+
+def dump_schema(tables: list[Table], dialect: str) -> dict[str, list[str]]:
+    """The statements that make the tables, their references and their indexes, in three parts."""
+    return {"ddl": [t.ddl(dialect) for t in tables], "fk": [s for t in tables for s in t.foreign_key_ddl(dialect)], "idx": [s for t in tables for s in index_ddl(t, dialect)]}
+
+
+def build_database(spark: SparkSession, name: str, tables: dict[str, DataFrame]) -> None:
+    """A database of the session's catalog with these tables, in place of one of that name."""
+    drop_database(spark, name)
+    spark.sql(f"CREATE DATABASE `{name}`")
+    for t, df in tables.items():
+        df.write.saveAsTable(f"`{name}`.`{t}`", format="parquet")
+
+
+def drop_database(spark: SparkSession, name: str) -> None:
+    spark.sql(f"DROP DATABASE IF EXISTS `{name}` CASCADE")
+
+
+def catalog_tables(spark: SparkSession, name: str) -> dict[str, Table]:
+    """The tables of a database as declared tables, by name."""
+    out = {}
+    for t in sorted(spark.catalog.listTables(name), key=lambda t: t.name):
+        if not t.isTemporary:
+            out[t.name] = Table(t.name, [Column(f.name, f.dataType.simpleString(), f.nullable) for f in spark.table(f"`{name}`.`{t.name}`").schema])
+    return out
+
+
 def append(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
-__all__ = ["Column", "Table", "parse_ddl", "read_json_table", "read_pipe", "read_csv", "parse_insert", "read_inserts", "insert_statements", "append", "split_arguments", "split_statements"]
+__all__ = ["Column", "Table", "parse_ddl", "read_json_table", "read_pipe", "read_csv", "parse_insert", "read_inserts", "insert_statements", "index_ddl", "dump_schema", "build_database", "drop_database", "catalog_tables", "append", "split_arguments", "split_statements"]

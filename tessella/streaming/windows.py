@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 
 def _late(df: DataFrame, time: str, wait: str | None) -> DataFrame:
@@ -31,3 +33,17 @@ def sessions(df: DataFrame, time: str, gap: str, keys: list[str], *aggregates, w
 def unique(df: DataFrame, keys: list[str], time: str, wait: str = "10 minutes") -> DataFrame:
     """Rows of keys not seen before; on a stream, state is kept within the watermark."""
     return df.withWatermark(time, wait).dropDuplicatesWithinWatermark(keys) if df.isStreaming else df.dropDuplicates(keys)
+
+
+def running(stream: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, n, last): for each key of a stream, how many rows it has had and the largest value; a row a key and batch."""
+
+    def update(k, frames, state):
+        n, last = state.get if state.exists else (0, None)
+        for f in frames:
+            n, top = n + len(f), f[value].max()
+            last = top if last is None or top > last else last
+        state.update((int(n), int(last)))
+        yield pd.DataFrame({key: [k[0]], "n": [int(n)], "last": [int(last)]})
+
+    return stream.select(key, F.col(value).cast("long").alias(value)).groupBy(key).applyInPandasWithState(update, f"{key} string, n long, last long", "n long, last long", "update", GroupStateTimeout.NoTimeout)

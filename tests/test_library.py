@@ -6,8 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessella.functions.formats import interval_parts, java_pattern
-from tessella.operators import compare, relational
-from tessella.plans import analysis, generate, rules
+from tessella.operators import compare, relational, vectors
+from tessella.plans import analysis, compose, generate, rule_functions, rules, segments
 from tessella.plans.engine import Engine
 from tessella.plans.lexer import SqlError
 from tessella.plans.parser import parse
@@ -323,7 +323,7 @@ def test_changes(spark):
     from tessella.plans.changes import execute
 
     t = frame(spark, [(1, "a", 1.0), (2, "b", None), (3, None, 3.0)], "k int, s string, v double")
-    e = Engine(spark, "/nowhere", []).add("t", t).add("u", frame(spark, [(2, "B", 20.0), (9, "N", 90.0)], "k int, s string, v double"))
+    e = Engine(spark, "/nowhere", []).add("t", t, key=["k"]).add("u", frame(spark, [(2, "B", 20.0), (9, "N", 90.0)], "k int, s string, v double"))
     rows = lambda: sorted(tuple(r) for r in e.table("t").collect())
     execute(e, "UPDATE t SET v = v + 1, s = 'x' WHERE v > 2", "pg")
     assert rows() == [(1, "a", 1.0), (2, "b", None), (3, "x", 4.0)]
@@ -339,6 +339,18 @@ def test_changes(spark):
     assert rows() == [(2, "B", 40.0), (3, "x", 4.0), (7, None, 5.0), (8, None, None), (9, "N", 90.0)]
 
 
+def test_insert_on_duplicate_key_goes_by_the_declared_key(spark):
+    from tessella.plans.changes import execute
+
+    t = frame(spark, [("x", 1, 1, 10), ("y", 1, 2, 20)], "s string, a int, b int, v int")
+    u = frame(spark, [("z", 1, 2, 5), ("w", 2, 2, 7)], "s string, a int, b int, v int")
+    with pytest.raises(SqlError):
+        execute(Engine(spark, "/nowhere", []).add("t", t).add("u", u), "INSERT INTO t SELECT s, a, b, v FROM u ON DUPLICATE KEY UPDATE v = VALUES(v) + v", "mysql")
+    e = Engine(spark, "/nowhere", []).add("t", t, key=["a", "b"]).add("u", u)
+    execute(e, "INSERT INTO t SELECT s, a, b, v FROM u ON DUPLICATE KEY UPDATE v = VALUES(v) + v", "mysql")
+    assert sorted(tuple(r) for r in e.table("t").collect()) == [("w", 2, 2, 7), ("x", 1, 1, 10), ("y", 1, 2, 25)]
+
+
 def test_catalogs(spark):
     a = readers.parse_ddl("CREATE TABLE t (a INT, b TEXT, FOREIGN KEY (a) REFERENCES u (k))", "pg")
     b = readers.parse_ddl("CREATE TABLE T (A BIGINT, c TEXT)", "pg")
@@ -346,3 +358,207 @@ def test_catalogs(spark):
     assert sorted((r["column"], r["left"], r["right"]) for r in revision.schema_difference(x, y).collect()) == [("a", "int", "bigint"), ("b", "string", None), ("c", None, "string")]
     assert {r["type"]: r["n"] for r in revision.type_census(x).collect()} == {"int": 1, "string": 1}
     assert sorted(map(tuple, revision.neighbours(spark, [a]).collect())) == [("t", "u"), ("u", "t")]
+
+
+# rule functions, against hand-worked cases
+
+
+@pytest.mark.parametrize(
+    ("name", "args", "want"),
+    [
+        ("TranMySQLDateFormatToPG", ("'%Y-%m-%d %H:%i:%s.%f %p'",), "'YYYY-MM-DD HH24:MI:SS.FF AM'"),
+        ("TranPgDateFormatToMySQL", ("'YYYY-MM-DD HH24:MI:SS'",), "'%Y-%m-%d %H:%i:%S'"),
+        ("TranToStandardTimeFormat", ("'05-MAR-49'", "DD-MON-RR"), "'2049-03-05'"),
+        ("TranToStandardTimeFormat", ("'05-MAR-50'", "DD-MON-RR"), "'1950-03-05'"),
+        ("TranToStandardTimeFormat", ("'Mar 05, 2001, 14:07:09'", "Mon dd, YYYY, HH24:MI:SS"), "'2001-03-05 14:07:09.000000'"),
+        ("TranToStandardTimeFormat", ("'05-MAR-01 02.07.09.250000 PM'", "DD-MON-RR HH.MI.SSXFF AM"), "'2001-03-05 14:07:09.250000'"),
+        ("GenStandardDate", ("'03/07/2001'", "MDY"), "'2001-03-07'"),
+        ("GenStandardDate", ("'03/07/2001'", "DMY"), "'2001-07-03'"),
+        ("GenNumber", ("'1,234.50'", ".,"), "1234.50"),
+        ("GenNumber", ("'-1.234,50'", ",."), "-1234.50"),
+        ("GenMySQLOracleIntervalValue", ("5", "MICROSECOND"), "INTERVAL '0.000005' SECOND(6)"),
+        ("GenMySQLOracleIntervalValue", ("2", "WEEK"), "INTERVAL '14' DAY"),
+        ("GenMySQLOracleIntervalValue", ("3", "QUARTER"), "INTERVAL '9' MONTH"),
+        ("GenMySQLOracleIntervalValue", ("'4:5.25'", "MINUTE_MICROSECOND"), "INTERVAL '4:5.250000' MINUTE TO SECOND(6)"),
+        ("GenMySQLOracleIntervalValue", ("'1 2:3:4'", "DAY_SECOND"), "INTERVAL '1 2:3:4' DAY TO SECOND"),
+        ("GenMySQLOracleIntervalValue", ("'-1-2'", "YEAR_MONTH"), "INTERVAL '-1-2' YEAR TO MONTH"),
+        ("GenMySQLPGIntervalValue", ("7", "HOUR"), "INTERVAL '7 hours'"),
+        ("GenMySQLPGIntervalValue", ("'1 2'", "DAY_HOUR"), "INTERVAL '1 days 2 hours'"),
+        ("GenMySQLPGIntervalValue", ("'4:5.25'", "MINUTE_MICROSECOND"), "INTERVAL '4 minutes 5 seconds 250000 microseconds'"),
+        ("GenOraclePGIntervalValue", ("'1 2:3:4'", "DAY TO SECOND(3)"), "INTERVAL '1 days 2 hours 3 minutes 4 seconds'"),
+        ("GenOraclePGIntervalValue", ("'9'", "day"), "INTERVAL '9 days'"),
+        ("GenOracleMySQLUnit", ("YEAR(3) TO MONTH",), "YEAR_MONTH"),
+        ("GenOracleMySQLUnit", ("Day to Second",), "DAY_SECOND"),
+        ("RepBackSlash", (r"'a\nb\\c\'d'",), "'a\nb\\c''d'"),
+        ("AddQstrEscape", ("Q'<it's \\ here>'",), r"'it\'s \\ here'"),
+        ("GenPGOracleInterval", ("'1-2 3 4:05:06'", "STANDARD"), "TO_YMINTERVAL('P1Y2M') + TO_DSINTERVAL('P3DT4H5M6S')"),
+        ("GenPGOracleInterval", ("'-P1Y2M'", "ISO8601"), "TO_YMINTERVAL('-P1Y2M')"),
+        ("GenPGOracleInterval", ("'@ 1 years 2 mons 3 days ago'", "PG"), "TO_YMINTERVAL('-P1Y2M') + TO_DSINTERVAL('-P3DT0H0M0S')"),
+        ("GenPGMySQLInterval", ("'P3DT4H5M6S'", "ISO8601"), "INTERVAL '3 4:5:6' DAY_SECOND"),
+        ("GenPGMySQLInterval", ("'2 hours -5 mins'", "PG"), "INTERVAL '0 1:55:0' DAY_SECOND"),
+        ("RtrimReg", ("'a.b'",), r"'(a\.b)+$'"),
+        ("LtrimReg", ("'a|b'",), r"'^(a\|b)+'"),
+        ("EnumCube", ("a, b",), [["a", "b"], ["b"], ["a"]]),
+        ("ReviseSelectList", ("a, sum(b), b + 1, t.a", "a", "a, b, t.a"), ["a", "sum(b)", "NULL + 1", "NULL"]),
+        ("ReviseSelectListSets", ("a, max(c), c", "a", [["a"], ["c"]]), ["a", "max(c)", "NULL"]),
+        ("OraMySQLOrderBy", ("a, b DESC, c NULLS FIRST, d DESC NULLS LAST",), ["a IS NULL, a", "b IS NULL DESC, b DESC", "c ASC", "d DESC"]),
+        ("PgMySQLOrderBy", ("f(a, b) DESC",), ["f(a, b) IS NULL DESC, f(a, b) DESC"]),
+        ("MySQLOrderBy", ("a, b DESC",), ["a ASC NULLS FIRST", "b DESC NULLS LAST"]),
+        ("TranCountLiteralOra", ("'count( /a/b )'",), "'/a/b'"),
+        ("GenCountXpath", ("'/a/b'",), "'count(/a/b)'"),
+        ("MySQLGetValueFormat", ("YYYY/MM/DD",), "'%Y/%m/%d'"),
+        ("OraPgGetFormat", ("DD Mon YYYY",), "'DD Mon YYYY'"),
+        ("GenToCharFmt", ("3",), "'9999999999.000'"),
+        ("GenToCharFmt", ("0",), "'9999999999'"),
+    ],
+)
+def test_rule_functions(name, args, want):
+    assert rule_functions.call(name, rule_functions.Context(), *args) == want
+
+
+def test_refused_rule_functions():
+    for name, args in (("MySQLGetValueFormat", ("DD-MON-RR",)), ("OraPgGetFormat", ("YY",)), ("GenPGOracleInterval", ("'soon'", "PG")), ("GenMySQLPGIntervalValue", ("'1:2'", "DAY_SECOND")), ("AddQstrEscape", ("'plain'",))):
+        with pytest.raises(ValueError):
+            rule_functions.call(name, rule_functions.Context(), *args)
+
+
+def test_drawn_rule_functions_meet_their_conditions():
+    import random
+    import re
+
+    for seed in range(200):
+        c = rule_functions.Context(random.Random(seed))
+        draw = lambda name, *args: rule_functions.call(name, c, *args)  # noqa: E731, B023
+        for name in ("ContainBackSlash", "GenQstring", "GenPGSQLStandardLiteral", "GenPGOriIntervalLiteral"):
+            assert rule_functions.fulfils(name, draw(name)), name
+        for mode in ("YM", "DS", ""):
+            text = draw("GenISOIntervalLiteral", mode)
+            assert rule_functions.fulfils("GenISOIntervalLiteral", text)
+            assert draw("GenPGMySQLInterval", text, "ISO8601").startswith("INTERVAL")
+        assert "INTERVAL" in draw("GenPGOracleInterval", draw("GenPGSQLStandardLiteral"), "STANDARD")
+        for unit in ("MICROSECOND", "SECOND", "MINUTE", "HOUR", "DAY", "WEEK", "MONTH", "QUARTER", "YEAR"):
+            assert draw("GenMySQLPGIntervalValue", draw("GenMySQLIntervalInt", unit), unit).startswith("INTERVAL '")
+        for unit in ("MINUTE_MICROSECOND", "HOUR_SECOND", "HOUR_MINUTE", "DAY_SECOND", "DAY_MINUTE", "DAY_HOUR", "YEAR_MONTH"):
+            assert draw("GenMySQLOracleIntervalValue", draw("GenMySQLIntervalString", unit), unit).startswith("INTERVAL '")
+        assert draw("GenOraclePGIntervalValue", draw("GenOracleIntervalDouble"), "DAY TO SECOND").startswith("INTERVAL '")
+        assert draw("GenOraclePGIntervalValue", draw("GenOracleIntervalSingle", "MONTH"), "MONTH").endswith("months'")
+        for layout in rule_functions.LAYOUTS:
+            assert re.match(r"'\d{4}-\d\d-\d\d", draw("TranToStandardTimeFormat", draw("GenTimestampOracleStr", layout), layout))
+        for order in ("MDY", "DMY"):
+            assert rule_functions.fulfils("SampleDate", draw("GenStandardDate", draw("GenPGDateParaStr", order), order))
+        for marks in (".,", ",."):
+            assert abs(float(draw("GenNumber", draw("GenOracleStrNumber", marks), marks))) <= 5000
+        assert re.fullmatch(r"'(?:[0-9A-Fa-f]{2}){1,4}'", draw("GenDoubleHexString")) and re.fullmatch(r"(?:[0-9A-Fa-f]{2}){1,9}", draw("GenHexString"))
+        assert rule_functions.bare(draw("GenMySQLTimeFormat")) in rule_functions.MYSQL_DATE_FORMATS and rule_functions.bare(draw("GenMySQLTimeFormat", "TIME")) in rule_functions.MYSQL_TIME_FORMATS
+        assert rule_functions.bare(draw("GenOraPgTimeFormat")) in rule_functions.ORACLE_DATE_FORMATS
+
+
+def test_sampled_rule_functions():
+    import random
+
+    values = {"d": datetime.date(2051, 3, 5), "t": datetime.datetime(2001, 3, 5, 6, 7, 8), "s": "\\cold widget", "x": "<a><b/><c/></a>", "one": "z"}
+    c = rule_functions.Context(random.Random(1), values.get)
+    run = lambda name, *args: rule_functions.call(name, c, *args)
+    assert run("SampleDate", "d") == "'2051-03-05'" and run("SampleDateOra", "d", "DD-MON-RR") == "'05-Mar-51'" and run("SampleDateOra", "t", "Mon dd, YYYY") == "'Mar 05, 2001'"
+    assert run("SampleTimeStamp", "t") == "'2001-03-05 06:07:08.000000'" and rule_functions.fulfils("SampleDate", run("SampleDate", "nothing"))
+    assert run("GenDateLikePat", "t") in ("'%2001%'", "'%03%'")
+    assert run("GenIlikePattern", "s") == "'%COLD WIDGET%'" and run("GenRegPattern", "s") == "'.*cold widget.*'"
+    assert run("GenXmlPath", "x") in ("'/a/b'", "'/a/c'") and run("GenCountLiteral", "x") in ("'count(/a/b)'", "'count(/a/c)'")
+    assert run("GenTrim", "s", "RIGHT") == "'et'" and run("GenTrim", "nothing", "BOTH") == "'<>=.'"
+    assert run("GenSubString", "s", "1", "1").strip("'") in "cold widget"
+    for name, args in (("GenTrim", ("one", "LEFT")), ("GenRegPattern", ("nothing",)), ("GenSubString", ("one", "1", "1"))):
+        with pytest.raises(ValueError):
+            run(name, *args)
+
+
+def test_tree_rewriting():
+    rows = [
+        ("SELECT IFNULL((a), IFNULL(b, 1)) + (a) FROM t WHERE (IFNULL( (d) ,2)) = 3 LIMIT 2, 3", "SELECT COALESCE((a), COALESCE(b, 1)) + (a) FROM t WHERE COALESCE((d), 2) = 3 LIMIT 3 OFFSET 2"),
+        ("SELECT x FROM (SELECT IF(a > 1, INSTR(s, 'b'), 2) AS x FROM t) u", "SELECT x FROM (SELECT CASE WHEN a > 1 THEN STRPOS(s, 'b') ELSE 2 END AS x FROM t) u"),
+        ("SELECT CONCAT(s, CONCAT(s, 'x')) FROM t", "SELECT (s || (s || 'x')) FROM t"),
+        ("SELECT a <=> (b) FROM t", "SELECT a IS NOT DISTINCT FROM (b) FROM t"),
+    ]
+    for sql, want in rows:
+        w = rules.TreeRewriter(rules.builtin_rules(), "mysql", "pg", CATALOG)
+        assert w.rewrite(sql) == want
+        assert w.applied and w.rewritten
+    r = rules.Rule("same", "NVL(<a: ANY_VALUE>, <b: ANY_VALUE>)", "COALESCE(<a>, <b>)", ("oracle", "oracle"))
+    assert rules.identity_rewrite("SELECT NVL(a, 1) FROM t", [r], "oracle") == "SELECT COALESCE(a, 1) FROM t"
+
+
+def test_composition():
+    import random
+
+    s = "SELECT a, b FROM t WHERE a = 1 OR b = 2 UNION SELECT c, d FROM u ORDER BY 1"
+    assert compose.swap_columns(s, 0, 1, "pg").startswith("SELECT b, a FROM t") and "SELECT d, c FROM u" in compose.swap_columns(s, 0, 1, "pg")
+    assert compose.drop_column(s, 1, "pg") == "SELECT a FROM t WHERE a = 1 OR b = 2 UNION SELECT c FROM u ORDER BY 1"
+    assert compose.add_filler(s, 1, "num", "f", "pg") == "SELECT a, 0.0 AS f, b FROM t WHERE a = 1 OR b = 2 UNION SELECT c, 0.0 AS f, d FROM u ORDER BY 1"
+    assert compose.add_projection(s, "1", "n", "pg") == "SELECT a, b, 1 AS n FROM t WHERE a = 1 OR b = 2 UNION SELECT c, d, 1 AS n FROM u ORDER BY 1"
+    assert compose.add_predicate(s, "z > 1", "pg") == "SELECT a, b FROM t WHERE (a = 1 OR b = 2) AND (z > 1) UNION SELECT c, d FROM u WHERE (z > 1) ORDER BY 1"
+    assert compose.inline_star("WITH x AS (SELECT a FROM t) SELECT 1 AS a UNION ALL SELECT * FROM x", "pg") == "WITH x AS (SELECT a FROM t) SELECT 1 AS a UNION ALL SELECT a FROM t"
+    assert compose.unquoted_keywords('SELECT "rank", "from" FROM t', ["rank"], "pg") == 'SELECT rank, "from" FROM t'
+    assert compose.keyword_uses("rank", {"rank": {"a": "int"}, "t": {"RANK": "int"}}) == [("rank", None), ("t", "RANK")]
+    rng = random.Random(2)
+    assert compose.augment("x", "num", "c", rng, grouped=False, aggregated=True) == "x * AVG(c)" and compose.augment("x", "str", "c", rng) == "CONCAT(x, c)"
+    assert compose.augment("x", "date", "c", rng).startswith("EXTRACT(") and compose.use_interval("d", "INTERVAL '1' DAY") == "d + INTERVAL '1' DAY"
+    rule = next(r for r in rules.builtin_rules() if r.description == "ifnull")
+    made = compose.add_function_rule("SELECT n_name FROM nation", rule, [{"n_name": "str"}], rule_functions.Context(rng), "mysql")
+    assert made == "SELECT n_name, IFNULL(n_name, n_name) AS point_1 FROM nation"
+    limit = next(r for r in rules.builtin_rules() if r.description == "limit")
+    assert compose.add_clause_rule("SELECT n_name FROM nation", limit, {}, rule_functions.Context(rng), "mysql").startswith("SELECT * FROM (SELECT n_name FROM nation) pointed LIMIT ")
+    last = rules.Rule("o", "x", "y", ("pg", "mysql"), "ORDER_BY_CLAUSE")
+    assert compose.choose_rule([last, rule], rng) is rule and compose.choose_rule([last, rule], rng, ["ifnull"]) is last and compose.choose_rule([], rng) is None
+
+
+def test_segments(spark, sf):
+    q = parse("SELECT a, count(*) FROM t WHERE b IN (SELECT max(c) FROM u) GROUP BY a", "pg")
+    assert segments.holds(["SELECT", "CALL", "MAX"], ["select", "max"]) and not segments.holds(["MAX", "SELECT"], ["SELECT", "MAX"])
+    assert [p.node.name for p in segments.matching(q, ["MAX"])] == ["max"]
+    text, stands = segments.masked("SELECT a, 'x' FROM t WHERE a = 1", "pg", {"t": {"a": "int"}})
+    assert text == "SELECT <column_1: int>, <text_2> FROM <table_3> WHERE <column_1: int> = <number_4>" and segments.unmasked(text, stands) == "SELECT a, 'x' FROM t WHERE a = 1"
+    e = Engine(spark, sf)
+    ok, error = e.compiles("SELECT upper(nothing_like_it(n_name)) FROM nation", "pg")
+    assert not ok and segments.locate("SELECT upper(nothing_like_it(n_name)) FROM nation", "pg", error).node.name == "nothing_like_it"
+    bad = rules.Rule("bad", "IFNULL(<a: ANY_VALUE>, <b: ANY_VALUE>)", "NO_SUCH_THING(<a>, <b>)", ("mysql", "pg"))
+    out, tried = segments.translate(e, "SELECT IFNULL(n_name, 'x') AS n FROM nation", [bad, *rules.builtin_rules()], "mysql", "pg")
+    assert out == "SELECT COALESCE(n_name, 'x') AS n FROM nation" and [t.rule for t in tried] == ["", "bad"]
+    t = readers.parse_ddl("CREATE TABLE nation (n_nationkey INT)", "pg")
+    assert len(segments.ddl_for([t], "SELECT 1 FROM nation", "mysql")) == 1 and segments.ddl_for([t], "SELECT 1 FROM region", "mysql") == []
+
+
+def test_vector_store(spark, tmp_path):
+    store = vectors.VectorStore(spark, str(tmp_path / "store"))
+    assert store.version() == 0 and store.rows().count() == 0
+    ddl = "id string, kind string, text string, metadata map<string, string>, vector array<float>"
+    store.insert(frame(spark, [("a", "f", "one", {"l": "x"}, [1.0, 0.0]), ("b", "f", "two", {"l": "y"}, [0.0, 1.0]), ("c", "g", "one", {}, [1.0, 1.0])], ddl))
+    store.insert(frame(spark, [("b", "f", "two again", {"l": "y"}, [-1.0, 0.0])], ddl))
+    asked = frame(spark, [("a", [1.0, 0.0])], "id string, vector array<float>")
+    found = sorted((r["kind"], r["id"], r["score"]) for r in store.search(asked, 2).collect())
+    assert found == [("f", "a", 100.0), ("f", "b", 0.0), ("g", "c", 85.36)]
+    assert [r["id"] for r in store.search(asked, 2, ["f"], F.col("metadata.l") == "y").collect()] == ["b"]
+    assert sorted(r["id"] for r in store.search(asked, 2, contains="one").collect()) == ["a", "c"]
+    store.delete(frame(spark, [("a",)], "id string"))
+    assert sorted(r["id"] for r in store.rows().collect()) == ["b", "c"]
+    store.delete(kind="g")
+    assert store.rows().count() == 1 and store.version() == 4
+    store.delete()
+    assert store.rows().count() == 0
+
+
+def test_counted_rules_and_folded_texts():
+    a, b = [{"point": "x", "num": 1}, {"point": "y", "num": 2}], [{"point": "y", "num": 1}, {"point": "x", "num": 1}, {"point": "y", "num": 1}]
+    assert analysis.points_equal(a, b) and not analysis.points_equal(a, a[:1])
+    assert analysis.points_union(a, b) == [{"point": "x", "num": 2}, {"point": "y", "num": 4}] and analysis.add_point(a, "z")[-1] == {"point": "z", "num": 1}
+    s = analysis.SpacelessSet(["A b", "ab", "c"])
+    assert len(s) == 2 and " a B " in s and list(s | ["d"]) == ["A b", "c", "d"] and list(s & ["AB"]) == ["A b"] and list(s - ["C"]) == ["A b"]
+    sql = "SELECT 'a b', x FROM t"
+    assert analysis.span_tokens(sql, "pg", 0, len(sql)) == analysis.token_count(sql, "pg") and analysis.span_tokens(sql, "pg", 7, 12) == 2
+    assert analysis.relations(parse("SELECT 1 FROM a x JOIN b ON true, (SELECT 1) d", "pg").body) == [("a", "x"), ("b", None), ("derived", "d")]
+
+
+def test_sessions_of_their_own(spark, sf):
+    e = Engine(spark, sf)
+    other = e.isolated()
+    other.spark.conf.set("spark.sql.shuffle.partitions", "3")
+    assert spark.conf.get("spark.sql.shuffle.partitions") != "3"
+    assert other.run("SELECT count(*) AS n FROM nation", "pg").first()["n"] == 25

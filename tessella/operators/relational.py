@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -31,10 +33,19 @@ def groups_frame(df: DataFrame, by: list[str], order: str, low: int, high: int,
 
 
 def range_join(points: DataFrame, ranges: DataFrame, at: str, low: str, high: str, width: float) -> DataFrame:
-    """Points with the ranges [low, high) that hold them: both meet by cells of the given width, so the join is by key."""
-    cell = lambda c: F.floor(c / F.lit(width)).cast("long")
-    cut = ranges.withColumn("_cell", F.explode(F.sequence(cell(F.col(low)), cell(F.col(high)))))
-    return points.withColumn("_cell", cell(F.col(at))).join(cut, "_cell").filter((F.col(at) >= F.col(low)) & (F.col(at) < F.col(high))).drop("_cell")
+    """Points with the ranges [low, high) that hold them, joined by key: a range of any width takes two cells at most.
+
+    Cells of level n are width * 2 ** n wide; a range goes by the level whose cells are about its size, and points
+    have one cell on each level that ranges have. Ranges that are null or empty hold nothing.
+    """
+    level = F.greatest(F.lit(0), F.ceil(F.log2((F.col(high) - F.col(low)) / F.lit(width)))).cast("int")
+    leveled = ranges.filter(F.col(low) < F.col(high)).withColumn("_level", level)
+    levels = sorted(r[0] for r in leveled.select("_level").distinct().collect())  # numbers of doublings, so few
+    size = F.lit(float(width)) * F.pow(F.lit(2.0), F.col("_level"))
+    cell = lambda c: F.floor(F.col(c) / size).cast("long")
+    cut = leveled.withColumn("_cell", F.explode(F.sequence(cell(low), cell(high))))
+    spread = points.withColumn("_level", F.explode(F.array(*map(F.lit, levels)).cast("array<int>"))).withColumn("_cell", cell(at))
+    return spread.join(cut, ["_level", "_cell"]).filter((F.col(at) >= F.col(low)) & (F.col(at) < F.col(high))).drop("_level", "_cell")
 
 
 def asof_join(left: DataFrame, right: DataFrame, by: list[str], on: str, value: list[str]) -> DataFrame:
@@ -62,28 +73,41 @@ def multiset(a: Column, b: Column, op: str, all_: bool = True) -> Column:
     return F.filter(a, lambda x, i: (nth(x, i) <= times(b, x)) if op == "INTERSECT" else (nth(x, i) > times(b, x)))
 
 
-def cosine_topk(queries: DataFrame, vectors: DataFrame, k: int, id_: str, vector: str) -> DataFrame:
-    """For each query the k vectors of largest cosine similarity, ties by id: a stated set of queries against all rows.
+#: Queries and vectors in one cell of a search.
+QUERY_BLOCK, VECTOR_BLOCK = 1024, 16_384
+
+
+def cosine_topk(queries: DataFrame, vectors: DataFrame, k: int, id_: str, vector: str, query_block: int = QUERY_BLOCK, vector_block: int = VECTOR_BLOCK) -> DataFrame:
+    """For each query the k vectors of largest cosine similarity, ties by id: (q, v, sim, rank), a stated set of queries against all rows.
 
-    Queries are broadcast by their checked number, in blocks; each block keeps only its best k for each query.
+    Both sides are dealt to blocks by id, and each pair of blocks is a cell: a matrix product in one task, of which
+    only the best k for each query go on. The plan is the same for any number of blocks. A query isn't its own
+    neighbour; null vectors take no part; a vector of zeros has similarity 0 to all.
     """
-    from functools import reduce
-
-    size = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    unit = lambda df, name: df.select(F.col(id_).alias(name), F.transform(vector, lambda x: x.cast("double") / size(F.col(vector))).alias(f"{name}_v"))
-    q, v = unit(queries, "q"), unit(vectors, "v")
-    n = queries.count()
-    blocks = max(1, -(-n // 4096))
-    dot = F.aggregate(F.zip_with("q_v", "v_v", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    best = []
-    for block in range(blocks):
-        some = F.broadcast(q.filter(F.pmod(F.xxhash64("q"), F.lit(blocks)) == block)) if blocks > 1 else F.broadcast(q)
-        scored = v.join(some, how="cross").filter("q != v").select("q", "v", dot.alias("sim"))
-        # each partition's best k by query before the shuffle
-        first = scored.withColumn("_n", F.row_number().over(W.partitionBy("q", F.spark_partition_id()).orderBy(F.desc("sim"), "v"))).filter(F.col("_n") <= k)
-        best.append(first.drop("_n"))
-    merged = reduce(DataFrame.unionByName, best)
-    return merged.withColumn("rank", F.row_number().over(W.partitionBy("q").orderBy(F.desc("sim"), "v"))).filter(F.col("rank") <= k)
+    q = queries.select(F.col(id_).alias("id"), F.col(vector).cast("array<double>").alias("x")).filter("x IS NOT NULL")
+    v = vectors.select(F.col(id_).alias("id"), F.col(vector).cast("array<double>").alias("x")).filter("x IS NOT NULL")
+    n_q, n_v = max(1, -(-q.count() // query_block)), max(1, -(-v.count() // vector_block))
+    dealt = lambda df, n, own, other, m: df.withColumn(own, F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
+    kind = queries.schema[id_].dataType.simpleString()
+
+    def best(key, left, right):
+        if not left.num_rows or not right.num_rows:
+            return pa.table({"q": left.column("id").slice(0, 0), "v": right.column("id").slice(0, 0), "sim": pa.array([], pa.float64())})
+        a, b = (np.array(t.column("x").to_pylist(), dtype=float) for t in (left, right))
+        size = lambda m: np.sqrt(np.add.accumulate(m * m, axis=1)[:, -1])  # noqa: E731  in the order of the cells, so that equal vectors are equal here too
+        size_a, size_b = size(a), size(b)
+        near = (a / np.where(size_a > 0, size_a, 1)[:, None]) @ (b / np.where(size_b > 0, size_b, 1)[:, None]).T
+        cut = min(k + 1, near.shape[1])  # one more, as a query may be among its own
+        least = np.partition(near, near.shape[1] - cut, axis=1)[:, near.shape[1] - cut]
+        at_a, at_b = np.nonzero(near >= least[:, None] - 1e-9)
+        dot = np.add.accumulate(a[at_a] * b[at_b], axis=1)[:, -1] if len(at_a) else np.zeros(0)
+        both = size_a[at_a] * size_b[at_b]
+        sim = np.where(both > 0, dot / np.where(both > 0, both, 1), 0.0)
+        return pa.table({"q": left.column("id").take(pa.array(at_a)), "v": right.column("id").take(pa.array(at_b)), "sim": pa.array(sim)})
+
+    cells = dealt(q, n_q, "qb", "vb", n_v).groupBy("qb", "vb").cogroup(dealt(v, n_v, "vb", "qb", n_q).groupBy("qb", "vb"))
+    found = cells.applyInArrow(best, f"q {kind}, v {kind}, sim double").filter("q != v")
+    return found.withColumn("rank", F.row_number().over(W.partitionBy("q").orderBy(F.desc("sim"), "v"))).filter(F.col("rank") <= k)
 
 
 def merge_upsert(target: DataFrame, source: DataFrame, keys: list[str], delete: Column | None = None) -> DataFrame:

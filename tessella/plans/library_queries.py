@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import compare, relational, staged, vectors
+from ..operators import compare, staged, vectors
 from ..sources import readers, revision
 from ..streaming import windows
 from . import analysis, changes, compose, generate, rule_functions, rules, segments

@@ -150,6 +150,33 @@ def test_set_cover(spark):
     assert generate.minimal_cover([("x", {1, 2}), ("y", {2, 3, 4}), ("z", {1})]) == ["y", "x"]
 
 
+def test_range_join_with_ranges_of_any_width(spark):
+    ranges = frame(spark, [(0, 0.0, 1e9), (1, -5.0, 5.0), (2, 3.0, 3.5), (3, 7.0, 7.0), (4, None, 2.0), (5, 2.9, 3.1)], "r int, lo double, hi double")
+    points = frame(spark, [(k, float(x)) for k, x in enumerate((-6, -5, 0, 3, 3.4, 5, 1e8))] + [(9, None)], "p int, x double")
+    got = sorted((r["p"], r["r"]) for r in relational.range_join(points, ranges, "x", "lo", "hi", 1.0).collect())
+    assert got == [(1, 1), (2, 0), (2, 1), (3, 0), (3, 1), (3, 2), (3, 5), (4, 0), (4, 1), (4, 2), (5, 0), (6, 0)]
+
+
+@pytest.mark.parametrize(("query_block", "vector_block"), [(1024, 16_384), (3, 5)])
+def test_cosine_topk_in_blocks(spark, query_block, vector_block):
+    import random
+
+    import numpy as np
+
+    rng = random.Random(4)
+    rows = [(k, [rng.choice([-1.0, 0.0, 0.5, 2.0]) for _ in range(4)]) for k in range(40)] + [(40, [0.0] * 4), (41, None), (42, [1.0, 1.0, 1.0, 1.0]), (43, [1.0, 1.0, 1.0, 1.0])]
+    df = frame(spark, rows, "id long, v array<double>")
+    got = sorted((r["q"], r["rank"], r["v"]) for r in relational.cosine_topk(df.filter("id % 4 = 2"), df, 3, "id", "v", query_block, vector_block).collect())
+    size = lambda x: np.sqrt(np.add.accumulate(np.array(x) ** 2)[-1])
+    sim = lambda x, y: float(np.add.accumulate(np.array(x) * np.array(y))[-1] / (size(x) * size(y))) if size(x) and size(y) else 0.0
+    want = []
+    for i, x in rows:
+        if i % 4 == 2 and x is not None:
+            near = sorted((-sim(x, y), j) for j, y in rows if j != i and y is not None)[:3]
+            want += [(i, n + 1, j) for n, (_, j) in enumerate(near)]
+    assert got == sorted(want)
+
+
 # readers
 
 

@@ -7,17 +7,14 @@ Everything that outlives one stage goes to the folder that the cluster names in
 from __future__ import annotations
 
 import gc
-import re
-import tempfile
-import uuid
-from collections.abc import Callable, Iterator
-from contextlib import contextmanager
-from contextvars import ContextVar
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators.staged import scratch, shared_dir, stage, unstage  # noqa: F401  the operators use them from here
+
 #: The white space that every contract here names: space and U+0009 to U+000D.
 SPACE = r"\x20\x09-\x0D"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -38,52 +35,6 @@ def free_name(df: DataFrame, wish: str) -> str:
     return name
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder. One of our own only where none is set and Spark runs in this process alone, as in tests."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        folder = tempfile.mkdtemp(prefix="tessella-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-#: Staged tables that were made within `scratch`, by path.
-_made: ContextVar[list[DataFrame] | None] = ContextVar("made", default=None)
-
-
-@contextmanager
-def scratch() -> Iterator[None]:
-    """Tables that are staged within go when it ends: what was computed from them must have been written by then."""
-    mark = _made.set([])
-    try:
-        yield
-    finally:
-        for df in _made.get():
-            unstage(df)
-        _made.reset(mark)
-
-
-def stage(df: DataFrame, label: str, lasting: bool = False) -> DataFrame:
-    """Write df to the shared folder and read it again: lineage ends there, and no work is done twice. A lasting table outlives `scratch`."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tessella/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.staged_at = path
-    if _made.get() is not None and not lasting:
-        _made.get().append(out)
-    return out
-
-
-def unstage(df: DataFrame) -> None:
-    """Delete a staged table that no later plan reads; one that is gone already is no fault."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df.staged_at)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner remove the shuffle files of plans that are out of use, before the next plan writes its own."""
     gc.collect()

@@ -9,6 +9,7 @@ is used as often as the pieces last, so the number of patterns is bounded by the
 
 from __future__ import annotations
 
+import itertools
 import json
 import zlib
 from collections.abc import Iterator
@@ -31,27 +32,75 @@ END_OF_DOCUMENT = b"\0\0\0\0"
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+#: The pre-tokenizer that public_tokenizers.PATTERN spells out.
+BYTE_LEVEL = {"type": "ByteLevel", "use_regex": True, "add_prefix_space": False}
+
+
+def byte_of_sign() -> dict[str, int]:
+    """The byte that each character of a byte-level vocabulary stands for."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {chr(b): b for b in printable} | {chr(256 + k): b for k, b in enumerate(x for x in range(256) if x not in printable)}
+
+
+def ranks_decide(path: str) -> bool:
+    """Whether merging by the rank of what a pair makes, as tiktoken does, gives the ids of the file's own merges for every text.
+
+    It does if ranks rise with the order of the merges, and if each token's characters, merged by rank alone, come
+    to the token by the very pair that its merge names. A text whose merges went another way would hold a stretch
+    on whose borders nothing has been merged, that is one token by rank and not by the file: that stretch alone
+    would differ too, and all of them have been looked at.
+    """
+    with open(path, encoding="utf-8") as f:
+        d = json.load(f)
+    model, before = d["model"], d.get("pre_tokenizer") or {}
+    plain = all(not model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges"))
+    if not plain or d.get("normalizer") or any(before.get(k) != v for k, v in BYTE_LEVEL.items()):
+        return False
+    vocabulary, made = model["vocab"], {}
+    for m in model["merges"]:
+        left, right = m if isinstance(m, list) else m.split(" ")
+        made.setdefault(left + right, (left, right))
+    ids = [vocabulary[x] for x in made]
+    if len(made) != len(model["merges"]) or ids != sorted(ids):
+        return False
+    for token in vocabulary:
+        if len(token) == 1 or token not in made:
+            if len(token) > 1 and all(c in byte_of_sign() for c in token):
+                return False  # a token that no merge makes
+            continue
+        parts, pair = list(token), None
+        while len(parts) > 1:
+            rank, at = min((vocabulary.get(x + y, len(vocabulary)), k) for k, (x, y) in enumerate(itertools.pairwise(parts)))
+            if rank == len(vocabulary):
+                return False
+            pair = (parts[at], parts[at + 1])
+            parts[at : at + 2] = ["".join(pair)]
+        if pair != made[token]:
+            return False
+    return True
+
+
 class Encoder:
     """Ids of whole texts under a byte-level BPE vocabulary in the tokenizers format.
 
-    In such a file a merge's rank is the id it makes, so tiktoken gives the same ids several times as fast. A
-    probe is encoded by both when a file is first opened; if they differ, tokenizers does all of the work.
+    Where ranks_decide, and a probe gives the same ids, tiktoken does the work several times as fast; else tokenizers does all of it.
     """
 
     PROBE = "It's 12 o'clock,  \t\n été ß日本語 -- x_y  \u00a0z \U0001f600 don't <|endoftext|> \r\n\n end "
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, by_rank: bool | None = None):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        with open(path, encoding="utf-8") as f:
-            vocabulary = json.load(f)["model"]["vocab"]
-        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        shown = {chr(b): b for b in printable} | {chr(256 + k): b for k, b in enumerate(x for x in range(256) if x not in printable)}
-        ranks = {bytes(shown[c] for c in token): i for token, i in vocabulary.items() if all(c in shown for c in token)}
-        special = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
-        ranks = {k: v for k, v in ranks.items() if k.decode("utf-8", "replace") not in special}
-        self.fast = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.same = self.fast.encode_ordinary(self.PROBE) == self.tokenizer.encode(self.PROBE, add_special_tokens=False).ids
+        self.same = ranks_decide(path) if by_rank is None else by_rank
+        if self.same:
+            with open(path, encoding="utf-8") as f:
+                vocabulary = json.load(f)["model"]["vocab"]
+            shown = byte_of_sign()
+            ranks = {bytes(shown[c] for c in token): i for token, i in vocabulary.items() if all(c in shown for c in token)}
+            special = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
+            ranks = {k: v for k, v in ranks.items() if k.decode("utf-8", "replace") not in special}
+            self.fast = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+            self.same = self.fast.encode_ordinary(self.PROBE) == self.tokenizer.encode(self.PROBE, add_special_tokens=False).ids
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         """Each text's ids as little-endian unsigned 32-bit numbers, with id 0 after them; a null is an empty text."""
@@ -74,9 +123,12 @@ _encoders: dict[str, Encoder] = {}
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
+    """A row for each piece of each document; the file is looked into once, on the driver, to tell how ids may be made."""
+    by_rank = ranks_decide(tokenizer)
+
     def run(batches):
         if tokenizer not in _encoders:
-            _encoders[tokenizer] = Encoder(tokenizer)
+            _encoders[tokenizer] = Encoder(tokenizer, by_rank)
         encoder = _encoders[tokenizer]
         for batch in batches:
             # a few hundred texts at a time, so that the ids of a batch are never all held at once

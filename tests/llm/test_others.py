@@ -302,6 +302,46 @@ def tokenizer():
     return t
 
 
+def test_ranks_decide_only_where_they_do(tmp_path):
+    import json
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    assert packing.ranks_decide(path)
+    with open(path, encoding="utf-8") as f:
+        whole = json.load(f)
+
+    def changed(name, change):
+        d = json.loads(json.dumps(whole))
+        change(d)
+        (tmp_path / name).write_text(json.dumps(d), encoding="utf-8")
+        return packing.ranks_decide(str(tmp_path / name))
+
+    def swap(d):
+        m = d["model"]["merges"]
+        m[5], m[900] = m[900], m[5]
+
+    def another_way(d):
+        """One of three letters made from its last two first, though its first two come earlier."""
+        v, merges = d["model"]["vocab"], d["model"]["merges"]
+        k = next(k for k, (x, y) in enumerate(merges) if len(x) == 2 and len(y) == 1 and x[1] + y in v and v[x[1] + y] > v[x])
+        merges[k] = [merges[k][0][0], merges[k][0][1] + merges[k][1]]
+
+    assert not changed("swapped.json", swap)
+    assert not changed("another.json", another_way)
+    assert not changed("normalized.json", lambda d: d.update(normalizer={"type": "NFC"}))
+    assert not changed("split.json", lambda d: d["pre_tokenizer"].update(use_regex=False))
+
+
+def test_every_code_point_is_split_alike():
+    """Both libraries' patterns put every code point, but for private ones and surrogates, into the same class: alone, doubled, and beside letters, digits and spaces."""
+    encoder = packing.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    assert encoder.same
+    points = [c for c in range(0xF0000) if not 0xD800 <= c < 0xF900]
+    for lo in range(0, len(points), 512):
+        text = "".join(f"a{x}b {x}1{x} {x}{x}  {x}\n" for x in map(chr, points[lo : lo + 512]))
+        assert encoder.fast.encode_ordinary(text) == encoder.tokenizer.encode(text, add_special_tokens=False).ids, hex(points[lo])
+
+
 def test_encoder_gives_the_tokenizers_ids(spark, docs, tokenizer):
     encoder = packing.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
     assert encoder.same

@@ -17,7 +17,10 @@ to drop nearly all of them cheaply:
 
 A block sends a hash or stretch once, however many of its documents hold it, so a passage that a third of all
 documents share is as many entries as there are blocks. Blocks and buckets grow in number with the input and
-not in size. Hashes only rule windows out or bring them together; bytes decide.
+not in size. A block sends a bucket all its entries as one message, and none where it has none: there are never
+more messages than entries, which grow in proportion to the input (some 0.07 a byte), and while there are fewer
+blocks than entries in a block, messages only save headers. Hashes only rule windows out or send them to one
+bucket; which stretches and windows are equal is decided by the radix passes over their bytes.
 """
 
 from __future__ import annotations
@@ -189,22 +192,17 @@ class Block:
 
 
 def equal_rows(records: np.ndarray, group: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(order of the rows by group, number of each row's kind in that order). Rows meet by a hash and are of one kind if their bytes are equal."""
-    if not len(records):
+    """(order of the rows by group, number of each row's kind in that order): rows of a group are of one kind if radix passes over all of their bytes leave them together."""
+    n = len(records)
+    if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    padded = np.zeros((len(records), -(-records.shape[1] // 8) * 8), dtype=np.uint8)
-    padded[:, : records.shape[1]] = records
-    digits = padded.view("<u8")
-    h = np.zeros(len(records), dtype=U)
-    for k in range(digits.shape[1]):
-        h = (h + digits[:, k]) * U(BASE)
-        h ^= h >> U(29)
-    order = np.argsort(h, kind="stable") if group is None else np.lexsort((h, group))
-    new = np.ones(len(records), dtype=bool)
-    new[1:] = (digits[order[1:]] != digits[order[:-1]]).any(axis=1)
-    if group is not None:
-        new[1:] |= group[order[1:]] != group[order[:-1]]
-    kind = np.empty(len(records), np.int64)
+    group = np.zeros(n, np.int64) if group is None else group
+    kind = msd_groups(records, group)
+    alone = kind < 0
+    kind[alone] = n + np.flatnonzero(alone)
+    order = np.lexsort((kind, group))
+    new = np.ones(n, dtype=bool)
+    new[1:] = (kind[order[1:]] != kind[order[:-1]]) | (group[order[1:]] != group[order[:-1]])
     kind[order] = np.cumsum(new) - 1
     return order, kind
 
@@ -240,10 +238,10 @@ def msd_groups(windows: np.ndarray, group: np.ndarray) -> np.ndarray:
     padded[:, : windows.shape[1]] = windows
     digits = padded.view(">u8")
     live = np.arange(len(windows))
-    for k in [None, *range(digits.shape[1])]:
+    for k in range(digits.shape[1]):
         if not len(live):
             return out
-        digit = np.zeros(len(live), U) if k is None else digits[live, k].astype(U)
+        digit = digits[live, k].astype(U)
         order = np.lexsort((digit, group))
         live, group, digit = live[order], group[order], digit[order]
         new = np.ones(len(live), dtype=bool)

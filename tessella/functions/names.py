@@ -65,7 +65,7 @@ MYSQL = {
 PG = {
     "length": "length({0})", "log": ["log10({0})", "log({0}, {1})"], "random": "rand()", "trunc": ["cast(sign({0}) * floor(abs({0})) as double)", TRUNCATE], "div": "({0} div {1})", "mod": "({0} % {1})", "scale": "coalesce(length(nullif(substring_index(cast({0} as string), '.', -1), cast({0} as string))), 0)",
     "acosd": "degrees(acos({0}))", "asind": "degrees(asin({0}))", "atand": "degrees(atan({0}))", "atan2d": "degrees(atan2({0}, {1}))", "cosd": "cos(radians({0}))", "cotd": "cot(radians({0}))", "sind": "sin(radians({0}))", "tand": "tan(radians({0}))",
-    "gcd": GCD, "lcm": "CASE WHEN {0} = 0 OR {1} = 0 THEN 0 ELSE abs(cast({0} as bigint) div " + GCD + " * {1}) END", "make_timestamptz": "make_timestamp({*})", "xmlagg": "listagg({0}, '')", "current_role": "current_user()", "current_catalog": "current_catalog()", "current_schema": "current_schema()", "trim_scale": "regexp_replace(cast({0} as string), '[.]?0+$', '')", "min_scale": "length(regexp_extract(cast({0} as string), '[.]([0-9]*[1-9])0*$', 1))",
+    "gcd": GCD, "lcm": "CASE WHEN {0} = 0 OR {1} = 0 THEN 0 ELSE abs(cast({0} as bigint) div " + GCD + " * {1}) END", "make_timestamptz": "make_timestamp({*})", "make_time": "concat(format_string('%02d:%02d:', cast({0} as int), cast({1} as int)), if({2} < 10, '0', ''), rtrim('.', rtrim('0', cast(cast({2} as decimal(9, 6)) as string))))", "xmlagg": "listagg({0}, '')", "current_role": "current_user()", "current_catalog": "current_catalog()", "current_schema": "current_schema()", "trim_scale": "regexp_replace(cast({0} as string), '[.]?0+$', '')", "min_scale": "length(regexp_extract(cast({0} as string), '[.]([0-9]*[1-9])0*$', 1))",
     "width_bucket": "width_bucket({*})", "cbrt": "cbrt({0})", "concat": "concat_ws('', {*})", "strpos": "instr({0}, {1})", "substr": "substring({*})", "substring": ["substring({0}, {1})", "substring({0}, {1})", "substring({0}, {1}, {2})"], "ltrim": ["ltrim({0})", "ltrim({1}, {0})"], "rtrim": ["rtrim({0})", "rtrim({1}, {0})"], "btrim": ["trim({0})", "trim(BOTH {1} FROM {0})"],
     "to_hex": "lower(hex({0}))", "chr": "chr({0})", "quote_ident": "CASE WHEN regexp_like({0}, '^[a-z_][a-z0-9_]*$') THEN {0} ELSE concat('\"', replace({0}, '\"', '\"\"'), '\"') END", "quote_literal": "concat('''', replace({0}, '''', ''''''), '''')", "quote_nullable": "coalesce(concat('''', replace({0}, '''', ''''''), ''''), 'NULL')",
     "split_part": "split_part({0}, {1}, {2})", "string_to_array": "split({0}, concat('\\\\Q', {1}, '\\\\E'))", "regexp_split_to_array": "split({0}, {1})", "regexp_count": "regexp_count({0}, {1})", "regexp_like": "regexp_like({0}, {1})", "regexp_substr": "regexp_substr({0}, {1})", "regexp_instr": "regexp_instr({0}, {1})",

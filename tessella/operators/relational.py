@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Callable
+from functools import reduce
+
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -147,3 +152,24 @@ def greedy_set_cover(pairs: DataFrame, item: str, element: str) -> list:
         covered = pairs.filter(F.col(item).isin(chosen)).select(element).distinct()
         left = pairs.select(item, element).distinct().join(covered, element, "left_anti")
 
+
+
+def aggregate(df: DataFrame, by: list[str], column: str, first: Callable, merge: Callable, last: Callable, name: str) -> DataFrame:
+    """A user's aggregate of doubles: first(series) makes a state of the rows at hand, merge(a, b) joins two, last(state) is the result.
+
+    States are made batch by batch where the rows are, so a group of any size meets as states and not as rows. Nulls don't count.
+    """
+    keys = df.select(*by).schema
+
+    def states(frames):
+        for frame in frames:
+            some = frame.dropna(subset=[column])
+            rows = [(*(k if isinstance(k, tuple) else (k,)), pickle.dumps(first(g[column]))) for k, g in some.groupby(by, dropna=False)]
+            yield pd.DataFrame(rows, columns=[*by, "_state"])
+
+    def joined(frame):
+        state = reduce(merge, map(pickle.loads, frame["_state"]))
+        return pd.DataFrame([(*frame[by].iloc[0], last(state))], columns=[*by, name])
+
+    partial = df.select(*by, F.col(column).cast("double").alias(column)).mapInPandas(states, keys.add("_state", "binary"))
+    return partial.groupBy(*by).applyInPandas(joined, df.select(*by).schema.add(name, "double"))

@@ -392,3 +392,18 @@ def stream_unique(e: Engine) -> DataFrame:
     q = windows.unique(twice, ["event_id"], "ts", "100 days").writeStream.outputMode("append").option("checkpointLocation", f"{place(e)}-checkpoint").format("memory").queryName(name).trigger(availableNow=True).start()
     q.awaitTermination()
     return e.spark.table(name).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT s_nationkey AS k, count(*) AS n FROM supplier GROUP BY s_nationkey")
+def select_into(e: Engine) -> DataFrame:
+    own = Engine(e.spark, e.directory)
+    changes.execute(own, "SELECT s_nationkey AS k, count(*) AS n INTO counted FROM supplier GROUP BY s_nationkey", "pg")
+    return own.run("SELECT k, n FROM counted", "pg")
+
+
+@query("SELECT o_orderstatus AS k, max(o_totalprice) - min(o_totalprice) AS spread FROM orders GROUP BY o_orderstatus")
+def own_aggregate(e: Engine) -> DataFrame:
+    """An aggregate that a user defines, from partial results of any split of the rows."""
+    from ..operators.relational import aggregate
+
+    return aggregate(e.table("orders"), ["o_orderstatus"], "o_totalprice", lambda x: (x.min(), x.max()), lambda a, b: (min(a[0], b[0]), max(a[1], b[1])), lambda s: s[1] - s[0], "spread").select(F.col("o_orderstatus").alias("k"), "spread")

@@ -26,6 +26,11 @@ def is_point(a: Node) -> bool:
 class MoreFunctions:
     """Methods named f_<function> print a call, or give None where a template will do."""
 
+    def f_encode(self, e):
+        if self.dialect == "mysql":
+            raise SqlError(f"{e.name} is a cipher of its server's own")
+        return None
+
     # JSON
 
     def json_text(self, doc: Node, path: str) -> str:

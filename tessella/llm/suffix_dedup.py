@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .texthash import BASE, U, chunks, mix
+from .texthash import BASE, CHUNK_BYTES, U, chunks, mix
 
 DEPTH = 50
 GRAM = 24
@@ -111,6 +111,18 @@ def anchors(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return place[open_[at]], h[place[open_[at]]], open_[at], count
 
 
+def anchors_in_steps(buf: np.ndarray, offsets: np.ndarray, step: int = CHUNK_BYTES) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """As anchors; a text that is longer than a chunk is gone through in steps that overlap by a window, so that memory doesn't grow with it. A window's anchor depends on the window alone."""
+    if len(buf) <= step or len(offsets) != 2:
+        return anchors(buf, offsets)
+    parts = []
+    for at in range(0, len(buf) - DEPTH + 1, step):
+        piece = buf[at : at + step + DEPTH - 1]
+        place, h, first, count = anchors(piece, np.array([0, len(piece)]))
+        parts.append((place + at, h, first + at, count))
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
 def _seek(h: np.ndarray, least: np.ndarray, windows: np.ndarray) -> np.ndarray:
     out = np.full(len(windows), -1, dtype=np.int64)
     todo = np.arange(len(windows))
@@ -137,7 +149,7 @@ class Block:
         cols = []
         self.bufs = []
         for lo, hi, buf, offsets in chunks(self.texts):
-            place, h, first, count = anchors(buf, offsets)
+            place, h, first, count = anchors_in_steps(buf, offsets)
             doc = np.searchsorted(offsets, place, side="right") - 1
             # of empty documents at one offset, the last holds the bytes
             cols.append((np.full(len(place), len(self.bufs)), doc + lo, place, h, first, count, first - offsets[doc]))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -76,8 +77,29 @@ def words(buf: np.ndarray, offsets: np.ndarray, member: np.ndarray) -> tuple[np.
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span's bytes, from differences of one running sum."""
+#: Bytes from which a word is hashed by itself.
+LONG_WORD = 1 << 16
+
+
+def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, step: int = CHUNK_BYTES) -> np.ndarray:
+    """A 64-bit hash of the bytes of each span; spans are in order and don't overlap. Memory beyond the result is bounded, however long the text is."""
+    out = np.empty(len(starts), dtype=U)
+    size = ends - starts
+    for k in np.flatnonzero(size >= LONG_WORD).tolist():
+        out[k] = int.from_bytes(hashlib.md5(buf[starts[k] : ends[k]].tobytes()).digest()[:8], "little")
+    short = np.flatnonzero(size < LONG_WORD)
+    at = 0
+    while at < len(short):
+        first = int(starts[short[at]])
+        until = int(np.searchsorted(starts[short], first + step, side="left")) if len(buf) > step else len(short)
+        some = short[at:until]
+        out[some] = _span_hashes(buf[first : int(ends[some[-1]])], starts[some] - first, ends[some] - first)
+        at = until
+    return out
+
+
+def _span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """From differences of one running sum."""
     up, down = powers(len(buf))
     total = np.zeros(len(buf) + 1, dtype=U)
     np.cumsum((buf.astype(U) + U(1)) * up[: len(buf)], dtype=U, out=total[1:])

@@ -74,3 +74,43 @@ def test_groups_of_equal_windows():
         assert (got[i] == -1) == (keys.count(keys[i]) == 1)
     met = {}
     assert all(met.setdefault(g, k) == k for g, k in zip(got, keys, strict=True) if g >= 0)
+
+
+def test_long_texts_in_steps():
+    """A text that is gone through in steps has the anchors and word hashes that it has as a whole."""
+    import numpy as np
+
+    from tessella.llm import suffix_dedup, texthash
+
+    rng = np.random.default_rng(5)
+    text = rng.integers(97, 101, 30_000).astype(np.uint8)
+    text[rng.random(len(text)) < 0.15] = 32
+    text[5000:9000] = text[:4000]
+    offsets = np.array([0, len(text)])
+
+    def each_window(found):
+        place, h, first, count = found
+        return {int(f) + k: (int(p), int(x)) for p, x, f, n in zip(place, h, first, count, strict=True) for k in range(n)}
+
+    whole = each_window(suffix_dedup.anchors(text, offsets))
+    for step in (60, 999, 7000):
+        assert each_window(suffix_dedup.anchors_in_steps(text, offsets, step)) == whole
+    starts, ends, _ = texthash.words(text, offsets, texthash.NOT_SPACE)
+    hashes = texthash.span_hashes(text, starts, ends)
+    for step in (50, 4096):
+        assert (texthash.span_hashes(text, starts, ends, step) == hashes).all()
+    long = np.full(200_000, 97, np.uint8)  # one word
+    assert texthash.span_hashes(long, np.array([0]), np.array([200_000])) == texthash.span_hashes(np.append(long, np.uint8(32)), np.array([0]), np.array([200_000]), 100)
+
+
+def test_a_text_of_many_megabytes(spark):
+    """One text of 12 MB and a copy of it beside short ones, in the operators that hash words or bytes."""
+    from tessella.llm import ngram_join, suffix_dedup
+
+    rng = random.Random(6)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(5000)]
+    long = " ".join(rng.choice(words) for _ in range(1_700_000))
+    df = spark.createDataFrame([(1, long), (2, long), (3, "short " * 5), (4, long[:400])], "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"]) for r in suffix_dedup.report(df).collect()}
+    assert got == {1: (len(long), 0, 0), 2: (len(long), len(long), 1), 3: (30, 0, 0), 4: (400, 400, 1)}
+    assert {r["doc_id"]: r["component_id"] for r in ngram_join.report(df).collect()} == {1: 1, 2: 1, 3: 3, 4: 4}

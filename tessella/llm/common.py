@@ -74,7 +74,8 @@ def number_slots(df: DataFrame, key: str, order: list[str], out: str, rows_a_sli
     """Add out: gapless numbers from 0 within each key, with no task that sees all rows of a key.
 
     Rows of a key are cut into slices by a hash of the order columns; a slice's numbers start where the
-    counts of the slices before it end. df should be a staged table, since it is read three times.
+    counts of the slices before it end. df should be a staged table, since it is read three times; order should end
+    with a column that tells equal rows apart, or all rows of one kind are one slice.
     """
     rows = df.count()
     slices = max(least_slices, -(-rows // rows_a_slice))

@@ -209,14 +209,14 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
     packed as often as they stand there. An empty table gives no rows. Other columns of docs are not read.
     """
     spark = docs.sparkSession
-    cut = common.stage(pieces(docs, tokenizer or public_tokenizers.path("byte_bpe_50k.json"), capacity), "pieces")
+    cut = common.stage(pieces(docs, tokenizer or public_tokenizers.path("byte_bpe_50k.json"), capacity).withColumn("_row", F.monotonically_increasing_id()), "pieces")
     counts = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # capacity rows at most
     where: dict[int, list] = {}
     for length, *rest in places(plan(counts, capacity)):
         where.setdefault(length, []).append(tuple(rest))
     schema = T.StructType.fromDDL("length long, _where array<struct<lo: long, hi: long, sequence: long, at: long>>")
     spots = F.broadcast(spark.createDataFrame(list(where.items()), schema))  # bounded: one row a length, and each pattern uses up a length
-    ranked = common.number_slots(cut, "length", ["doc_id", "piece", "ids_crc32"], "_rank")
+    ranked = common.number_slots(cut, "length", ["doc_id", "piece", "ids_crc32", "_row"], "_rank")
     spot = F.get(F.filter("_where", lambda x: (F.col("_rank") >= x["lo"]) & (F.col("_rank") < x["hi"])), F.lit(0))
     return (
         ranked.join(spots, "length")

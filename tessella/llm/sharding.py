@@ -65,6 +65,7 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
             F.crc32(text).alias("text_crc32"),
             F.xxhash64(text).alias("_h"),
             F.xxhash64(text, F.lit(1)).alias("_g"),
+            F.monotonically_increasing_id().alias("_row"),
         ),
         "shard-keys",
     )
@@ -86,8 +87,8 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
         keyed.withColumn("_bucket", bucket)
         .join(big, ["_h", "_g"], "left")
         .join(small, "_bucket", "left")
-        .select("doc_id", "size", "text_crc32", F.coalesce("_own", "_shared").alias("shard"))
+        .select("doc_id", "size", "text_crc32", "_row", F.coalesce("_own", "_shared").alias("shard"))
     )
-    return common.number_slots(dealt, "shard", ["doc_id", "text_crc32", "size"], "slot").select(
+    return common.number_slots(dealt, "shard", ["doc_id", "text_crc32", "size", "_row"], "slot").select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )

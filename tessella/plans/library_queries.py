@@ -212,7 +212,7 @@ def token_spans(e: Engine) -> DataFrame:
 
 
 @query(values("text, kind", ("1 + 2", "int"), ("1.5", "num"), ("'x'", "str"), ("DATE '2020-01-01'", "date"), ("a AND b", "bool"), ("INTERVAL '1' DAY", "interval")))
-def operand_types(e: Engine) -> DataFrame:
+def types_of_operands(e: Engine) -> DataFrame:
     from .spark_sql import Printer
 
     texts = ["1 + 2", "1.5", "'x'", "DATE '2020-01-01'", "a AND b", "INTERVAL '1' DAY"]

@@ -230,8 +230,16 @@ def register(spark: SparkSession) -> None:
     """Make the functions known to the session, under names that begin with tessella_."""
 
     def add(name: str, kind: str, f: Callable, n: int) -> None:
-        by_arguments = {1: lambda a: _each(f, a), 2: lambda a, b: _each(f, a, b), 3: lambda a, b, c: _each(f, a, b, c)}
-        spark.udf.register(f"tessella_{name}", F.pandas_udf(by_arguments[n], kind, F.PandasUDFType.SCALAR))
+        def one(a: pd.Series) -> pd.Series:
+            return _each(f, a)
+
+        def two(a: pd.Series, b: pd.Series) -> pd.Series:
+            return _each(f, a, b)
+
+        def three(a: pd.Series, b: pd.Series, c: pd.Series) -> pd.Series:
+            return _each(f, a, b, c)
+
+        spark.udf.register(f"tessella_{name}", F.pandas_udf((one, two, three)[n - 1], kind))
 
     add("json_change", "string", _json_change, 3)
     add("json_search", "string", lambda doc, how, what: search(json.loads(doc), how.lower() == "one", what), 3)

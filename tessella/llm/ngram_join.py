@@ -301,6 +301,7 @@ def components(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, block:
     blocks = placed.select("doc", "component", "own", F.explode(F.transform(F.sequence(F.lit(0), F.col("other_cuts") - 1), lambda x: code(F.col("other"), x))).alias("with"))
     blocks = blocks.select("doc", "component", "own", F.col("component").alias("hood"), F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"))
     dealt = common.stage(bins.unionByName(blocks), "dealt")
+    common.release(docs.sparkSession)  # the keys' shuffle files go before the texts' come
     # a class is represented by one document of its smallest id; repeated rows with that id and other sets are told apart by the set
     # the same join at every size; one that is broadcast for small inputs only would hide what large ones cost
     texts = named.join(dealt.hint("merge"), "doc")

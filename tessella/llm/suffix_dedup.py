@@ -88,27 +88,27 @@ def anchors(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     valid = np.zeros(n, dtype=bool)
     for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
         valid[a : max(a, b - DEPTH + 1)] = True
-    # a window's anchor: the next place at or after its start that has its smallest hash
-    place = np.full(n, -1, dtype=np.int64)
-    start = np.arange(n)
     open_ = np.flatnonzero(valid)
-    first = np.zeros(n, dtype=bool)  # windows whose smallest hash differs from the one before: found anew; others follow
     if not len(open_):
         return none, none.astype(U), none, none
-    first[open_] = True
-    first[1:][(least[1:] == least[:-1]) & valid[1:] & valid[:-1]] = False
-    heads = np.flatnonzero(first)
-    place[heads] = _seek(h, least, heads)
-    # a following window has the same anchor until it has passed it; then its anchor is another equal hash
-    lead = np.maximum.accumulate(np.where(first, start, -1))
-    place[open_] = place[lead[open_]]
-    while len(late := open_[place[open_] < open_]):
-        place[late] = _seek(h, least, late)
+    # a window's anchor: the next place at or after its start that has its smallest hash. Neighbours of one smallest hash
+    # share the first one's until they have passed it; then theirs is another equal hash
+    smallest, gap = least[open_], np.diff(open_) != 1
+    first = np.ones(len(open_), dtype=bool)
+    first[1:] = (smallest[1:] != smallest[:-1]) | gap
+    at = np.flatnonzero(first)
+    heads = open_[at]
+    entered = np.zeros(len(at), dtype=bool)  # a smaller hash than all before came in at the end of the window
+    entered[1:] = (smallest[at[1:]] < smallest[at[1:] - 1]) & ~gap[at[1:] - 1]
+    of_head = np.where(entered, heads + SPREAD - 1, -1)
+    of_head[~entered] = _seek(h, least, heads[~entered])
+    place = np.repeat(of_head, np.diff(np.append(at, len(open_))))
+    while len(late := np.flatnonzero(place < open_)):
+        place[late] = _seek(h, least, open_[late])
     change = np.ones(len(open_), dtype=bool)
-    change[1:] = (place[open_][1:] != place[open_][:-1]) | (np.diff(open_) != 1)
+    change[1:] = (place[1:] != place[:-1]) | gap
     at = np.flatnonzero(change)
-    count = np.diff(np.append(at, len(open_)))
-    return place[open_[at]], h[place[open_[at]]], open_[at], count
+    return place[at], h[place[at]], open_[at], np.diff(np.append(at, len(open_)))
 
 
 def anchors_in_steps(buf: np.ndarray, offsets: np.ndarray, step: int = CHUNK_BYTES) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -204,17 +204,16 @@ class Block:
 
 
 def equal_rows(records: np.ndarray, group: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(order of the rows by group, number of each row's kind in that order): rows of a group are of one kind if radix passes over all of their bytes leave them together."""
+    """(order of the rows by group, number of each row's kind in that order): rows are of one kind if radix passes over all of their bytes leave them together. Equal rows must be of one group."""
     n = len(records)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    group = np.zeros(n, np.int64) if group is None else group
-    kind = msd_groups(records, group)
+    kind = msd_groups(records)
     alone = kind < 0
     kind[alone] = n + np.flatnonzero(alone)
-    order = np.lexsort((kind, group))
+    order = np.argsort(kind if group is None else group * (2 * n) + kind, kind="stable")
     new = np.ones(n, dtype=bool)
-    new[1:] = (kind[order[1:]] != kind[order[:-1]]) | (group[order[1:]] != group[order[:-1]])
+    new[1:] = kind[order[1:]] != kind[order[:-1]]
     kind[order] = np.cumsum(new) - 1
     return order, kind
 
@@ -239,25 +238,39 @@ def messages(rows: list[tuple[int, int, bytes]]) -> pa.Table:
     return pa.table({"bucket": pa.array([r[0] for r in rows], pa.int64()), "block": pa.array([r[1] for r in rows], pa.int64()), "body": pa.array([r[2] for r in rows], pa.binary())})
 
 
-def msd_groups(windows: np.ndarray, group: np.ndarray) -> np.ndarray:
+def msd_groups(windows: np.ndarray, group: np.ndarray | None = None) -> np.ndarray:
     """Numbers of the groups of equal rows of windows (bytes) that start in the same group; -1 for a window alone.
 
-    Most significant digits first, eight bytes a pass; a window that is alone after a pass is not looked at again.
+    Most significant digits first, eight bytes a pass; a window that is alone after a pass is not looked at again,
+    and groups that a pass doesn't split are not sorted again.
     """
     out = np.full(len(windows), -1, dtype=np.int64)
     width = -(-windows.shape[1] // 8) * 8
-    padded = np.zeros((len(windows), width), dtype=np.uint8)
-    padded[:, : windows.shape[1]] = windows
-    digits = padded.view(">u8")
-    live = np.arange(len(windows))
+    padded = windows
+    if width != windows.shape[1]:
+        padded = np.zeros((len(windows), width), dtype=np.uint8)
+        padded[:, : windows.shape[1]] = windows
+    digits = np.ascontiguousarray(padded).view(">u8")
+    first = digits[:, 0].astype(U)
+    live = np.argsort(first, kind="stable") if group is None else np.lexsort((first, group))
+    group = np.zeros(len(live), np.int64) if group is None else group[live]
+    digit = first[live]
     for k in range(digits.shape[1]):
         if not len(live):
             return out
-        digit = digits[live, k].astype(U)
-        order = np.lexsort((digit, group))
-        live, group, digit = live[order], group[order], digit[order]
+        same = group[1:] == group[:-1]
+        if k:
+            digit = digits[live, k].astype(U)
+            split = np.flatnonzero(same & (digit[1:] != digit[:-1]))
+            if not len(split):
+                continue
+            torn = np.zeros(group[-1] + 1, dtype=bool)
+            torn[group[split]] = True
+            rows = np.flatnonzero(torn[group])  # of a group all or none, so they can be sorted in their places
+            order = rows[np.lexsort((digit[rows], group[rows]))]
+            live[rows], digit[rows] = live[order], digit[order]
         new = np.ones(len(live), dtype=bool)
-        new[1:] = (group[1:] != group[:-1]) | (digit[1:] != digit[:-1])
+        new[1:] = ~same | (digit[1:] != digit[:-1])
         number = np.cumsum(new) - 1
         several = np.bincount(number)[number] > 1
         live, group = live[several], number[several]

@@ -5,6 +5,9 @@
    shingles are dealt by hash to more than d parts, some part is the same in both. Documents send one key for
    each part, those of one key may meet, and the rest can't be similar: no link is lost. Keys only chain
    documents of one group together, never all pairs. Documents so connected form a neighbourhood.
+   Shared passages chain documents that aren't similar, and the more the larger the input is, so a large
+   neighbourhood is connected anew by the pairs whose sketches (parities of the shingles' buckets) differ in
+   no more bits than similar sets could: a shingle that only one of two sets has changes one bit.
 3. In each neighbourhood a T-occurrence search finds the links: for a query set, documents that occur in at
    least T of the inverted lists of its shingles. DivideSkip merges the short lists and looks up the long
    ones for the documents that the merge leaves. Small neighbourhoods are searched many to a task; large ones
@@ -33,6 +36,8 @@ from .texthash import BASE, FOLD, NOT_SPACE, U, chunks, mix, span_hashes, window
 SHINGLE, PERCENT = 3, 90
 #: Documents in one block of a large neighbourhood, and those that a task of small ones gets on average.
 BLOCK = 1000
+#: Sketches in one block of a large neighbourhood, and rows and bits of them that are compared at once.
+SKETCH_BLOCK, TILE_ROWS, TILE_BITS = 4000, 500, 1024
 #: Ratio of the largest to the smallest set size that share a number of parts.
 RATIO = 1.5
 #: DivideSkip's weight of a lookup against a merge.
@@ -113,20 +118,55 @@ def digest(shingles: np.ndarray) -> tuple[int, int]:
     return int(mix(shingles).sum(dtype=U).view(np.int64)), int(mix(shingles ^ U(BASE)).sum(dtype=U).view(np.int64))
 
 
+def sketch(shingles: np.ndarray) -> bytes:
+    """For each of at least 2n buckets, a power of two, whether an odd number of the n shingles is in it. Sketches of two lengths are compared at the shorter one, the longer one folded."""
+    bits = 1 << max(6, (2 * len(shingles) - 1).bit_length())
+    return np.packbits(np.bincount((mix(shingles) & U(bits - 1)).astype(np.int64), minlength=bits) & 1).tobytes()
+
+
+def folded(sketches: list[bytes]) -> np.ndarray:
+    """The sketches at the length of the shortest, a row each."""
+    width = min(map(len, sketches))
+    return np.stack([np.bitwise_xor.reduce(np.frombuffer(s, np.uint8).reshape(-1, width), axis=0) for s in sketches])
+
+
+def close(sketches: np.ndarray, size: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs between left and right whose sets could be similar by sizes and sketches; no similar pair is apart in it."""
+    label, width, out = np.arange(len(size)), sketches.shape[1], []
+    signs = lambda rows, at: np.unpackbits(sketches[rows, at : at + TILE_BITS // 8], axis=1).astype(np.float32) * 2 - 1
+    for first in range(0, len(left), TILE_ROWS):
+        rows = left[first : first + TILE_ROWS]
+        product = np.zeros((len(rows), len(right)), np.float32)
+        for at in range(0, width, TILE_BITS // 8):
+            product += signs(rows, at) @ signs(right, at).T
+        both = size[rows][:, None] + size[right]
+        # similar sets share at least percent / (100 + percent) of both sizes, and differ in the rest
+        hits = (8 * width - product) / 2 <= both - 2 * -(-percent * both // (100 + percent))
+        for r, hit in zip(rows.tolist(), hits, strict=True):
+            found = right[hit]
+            roots, at = np.unique(label[found], return_index=True)
+            for root, to in zip(roots.tolist(), found[at].tolist(), strict=True):
+                if root != label[r]:
+                    out.append((r, to))
+                    label[label == root] = label[r]
+    return out
+
+
 def _sets(docs: DataFrame, n: int) -> DataFrame:
-    """(doc, n, a, b): the number of shingles of each document and the digest of their set."""
+    """(doc, n, a, b, bits): the number of shingles of each document, the digest of their set and its sketch."""
 
     def run(batches):
         for batch in batches:
-            size, a, b = [], [], []
+            size, a, b, bits = [], [], [], []
             for s in shingle_sets(batch.column(1), n):
                 x, y = digest(s)
                 size.append(len(s))
                 a.append(x)
                 b.append(y)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, pa.int64()) for c in (size, a, b)]], names=["doc", "n", "a", "b"])
+                bits.append(sketch(s))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, pa.int64()) for c in (size, a, b)], pa.array(bits, pa.binary())], names=["doc", "n", "a", "b", "bits"])
 
-    return docs.mapInArrow(run, "doc long, n long, a long, b long")
+    return docs.mapInArrow(run, "doc long, n long, a long, b long, bits binary")
 
 
 def _common(docs: DataFrame, n: int) -> np.ndarray:
@@ -269,6 +309,47 @@ def links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray | None, pe
     return out
 
 
+def _cell(percent: int):
+    """The class of set size n: similar sets are of one class or of neighbouring ones."""
+    return F.floor(F.log("n") / math.log(max(100 / percent, 1.05)) + 1e-9).cast("int").alias("k")
+
+
+def _cells(members: DataFrame, block: int) -> DataFrame:
+    """(component, k, cuts, m): members of each neighbourhood and size class, and the blocks that they are cut into by hash."""
+    return members.groupBy("component", "k").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("cuts"), F.count(F.lit(1)).alias("m"))
+
+
+def _blocks(large: DataFrame, cells: DataFrame, *more: str) -> DataFrame:
+    """(doc, component, own, hood, i, j) and more columns: members of large neighbourhoods, a row for each pair of blocks that they are compared in."""
+    code = lambda k, at: F.shiftleft(k.cast("long"), 32) + at
+    near_cells = cells.select("component", F.explode(F.array(F.col("k") - 1, F.col("k"), F.col("k") + 1)).alias("k"), F.col("k").alias("other"), F.col("cuts").alias("other_cuts"))
+    own = F.pmod(F.xxhash64("doc"), F.col("cuts")).cast("int")
+    placed = large.join(cells.select("component", "k", "cuts"), ["component", "k"]).withColumn("own", code(F.col("k"), own)).join(near_cells, ["component", "k"])
+    blocks = placed.select("doc", "component", "own", *more, F.explode(F.transform(F.sequence(F.lit(0), F.col("other_cuts") - 1), lambda x: code(F.col("other"), x))).alias("with"))
+    return blocks.select("doc", "component", "own", *more, F.col("component").alias("hood"), F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"))
+
+
+def _tightened(near: DataFrame, seen: DataFrame, percent: int, block: int) -> DataFrame:
+    """near (node, component) with neighbourhoods of more than block nodes connected anew, by the pairs in them that are close by their sketches."""
+    large = near.join(near.groupBy("component").count().filter(F.col("count") > block).select("component"), "component")
+    if large.isEmpty():
+        return near
+    # rows of one id with other sets count as that id, as they do when the texts are searched
+    rows = common.stage(seen.filter("n > 0").join(large.select(F.col("node").alias("doc"), "component"), "doc").select("doc", "component", "n", "bits", _cell(percent)), "sketches")
+
+    def compare(key, table):
+        doc, size, own = (table.column(c).to_numpy() for c in ("doc", "n", "own"))
+        _, i, j = (k.as_py() for k in key)
+        found = close(folded(table.column("bits").to_pylist()), size, np.flatnonzero(own == i), np.flatnonzero(own == j), percent) if (own == i).any() and (own == j).any() else []
+        return pa.table({"a": pa.array([int(doc[x]) for x, _ in found], pa.int64()), "b": pa.array([int(doc[y]) for _, y in found], pa.int64())})
+
+    edges = _blocks(rows, _cells(rows, SKETCH_BLOCK), "n", "bits").groupBy("hood", "i", "j").applyInArrow(compare, "a long, b long")
+    out = common.stage(near.join(large.select("node"), "node", "left_anti").unionByName(connected(edges)), "neighbourhoods")
+    common.unstage(rows)
+    common.unstage(near)
+    return out
+
+
 def components(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
     """(doc, n_shingles, component) for each row of docs (doc_id, text); doc and component have LAST_ID for null."""
     named = docs.select(F.coalesce(F.col("doc_id"), F.lit(common.LAST_ID)).alias("doc"), F.col("text").cast("string").alias("text"))
@@ -284,22 +365,16 @@ def components(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, block:
     edges = chained.join(of.select(F.col("doc").alias("x"), F.col("rep").alias("a")), "x").join(of.select(F.col("doc").alias("y"), F.col("rep").alias("b")), "y").select("a", "b")
     near = common.stage(connected(edges), "neighbourhoods")
     common.unstage(chained)
+    near = _tightened(near, seen, percent, block)
     total = near.count()
     tasks = max(1, -(-total // block))
-    # a large neighbourhood is cut into blocks by set size, and then by hash: similar sets are of one size class or of neighbouring ones
-    step = math.log(max(100 / percent, 1.05))
-    members = near.join(reps.select(F.col("rep").alias("node"), F.floor(F.log("n") / step + 1e-9).cast("int").alias("k")).distinct(), "node").withColumnRenamed("node", "doc")
-    cells = members.groupBy("component", "k").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("cuts"), F.count(F.lit(1)).alias("m"))
+    # a large neighbourhood is cut into blocks by set size, and then by hash
+    members = near.join(reps.select(F.col("rep").alias("node"), _cell(percent)).distinct(), "node").withColumnRenamed("node", "doc")
+    cells = _cells(members, block)
     sizes = cells.groupBy("component").agg(F.sum("m").alias("size"))
     small = members.join(sizes, "component").filter(F.col("size") <= block)
     bins = small.select("doc", "component", F.lit(0).cast("long").alias("own"), F.lit(-1).cast("long").alias("hood"), F.pmod(F.xxhash64("component"), F.lit(tasks)).alias("i"), F.lit(-1).cast("long").alias("j"))
-    code = lambda k, at: F.shiftleft(k.cast("long"), 32) + at
-    near_cells = cells.select("component", F.explode(F.array(F.col("k") - 1, F.col("k"), F.col("k") + 1)).alias("k"), F.col("k").alias("other"), F.col("cuts").alias("other_cuts"))
-    large = members.join(sizes, "component").filter(F.col("size") > block).join(cells.select("component", "k", "cuts"), ["component", "k"])
-    own = F.pmod(F.xxhash64("doc"), F.col("cuts")).cast("int")
-    placed = large.withColumn("own", code(F.col("k"), own)).join(near_cells, ["component", "k"])
-    blocks = placed.select("doc", "component", "own", F.explode(F.transform(F.sequence(F.lit(0), F.col("other_cuts") - 1), lambda x: code(F.col("other"), x))).alias("with"))
-    blocks = blocks.select("doc", "component", "own", F.col("component").alias("hood"), F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"))
+    blocks = _blocks(members.join(sizes, "component").filter(F.col("size") > block), cells)
     dealt = common.stage(bins.unionByName(blocks), "dealt")
     common.release(docs.sparkSession)  # the keys' shuffle files go before the texts' come
     # a class is represented by one document of its smallest id; repeated rows with that id and other sets are told apart by the set

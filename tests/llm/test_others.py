@@ -204,6 +204,44 @@ def test_similar_sets_share_a_key(percent):
             assert len(np.intersect1d(ngram_join.part_keys(a, percent), ngram_join.part_keys(b, percent)))
 
 
+def test_chained_passages_are_not_dealt(spark, monkeypatch):
+    """Documents that hang together by passages alone, each like the next by 0.6, aren't sent to every block of one large neighbourhood; similar ones among them are linked."""
+    rng = random.Random(12)
+    passages = [" ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(15)) for _ in range(160)]
+    docs = [(i, " ".join(passages[i : i + 4])) for i in range(150)] + [(1000 + i, " ".join(passages[i : i + 4]) + " more") for i in range(0, 150, 10)]
+    dealt, plain = [], ngram_join.common.stage
+
+    def spy(df, label, *a, **b):
+        out = plain(df, label, *a, **b)
+        dealt.extend(r["doc"] for r in out.collect()) if label == "dealt" else None
+        return out
+
+    monkeypatch.setattr(ngram_join.common, "stage", spy)
+    got = {r["doc"]: r["component"] for r in ngram_join.components(spark.createDataFrame(docs, "doc_id long, text string"), 5, 80, 20).collect()}
+    assert got == {r["doc_id"]: r["component_id"] for r in brute_components(docs, 5, 80)}
+    assert len(set(got.values())) == 150
+    assert 30 <= len(dealt) <= 60
+
+
+@pytest.mark.parametrize("percent", [50, 80, 90, 100])
+def test_similar_sets_are_close_by_their_sketches(percent):
+    rng = np.random.default_rng(percent)
+    sets = []
+    for size in (1, 2, 7, 40, 41, 300, 2100):
+        base = np.unique(rng.integers(0, 2**63, size).astype(np.uint64))
+        sets += [np.unique(np.concatenate([base[rng.random(len(base)) < 1 - off / 200], rng.integers(0, 2**63, size * off // 200).astype(np.uint64)])) for off in (0, 1, 5, 10, 20, 50) for _ in range(4)]
+    sets = [s for s in sets if len(s)]
+    sizes = np.array([len(s) for s in sets])
+    similar = 0
+    for a, b in itertools.combinations(range(len(sets)), 2):
+        both = len(np.intersect1d(sets[a], sets[b]))
+        if 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
+            similar += 1
+            bits = ngram_join.folded([ngram_join.sketch(sets[a]), ngram_join.sketch(sets[b])])
+            assert ngram_join.close(bits, sizes[[a, b]], np.array([0]), np.array([1]), percent)
+    assert similar > 20
+
+
 def test_one_of_each_keeps_the_smallest(spark):
     docs = near_copies()
     df = with_clashes(spark.createDataFrame(docs, "doc_id long, text string"))

@@ -102,3 +102,14 @@ def test_set_cover_of_all_customers(spark, small):
 def test_rewritten_query_and_merge(spark, small):
     assert Counter(got(spark, small, "rewritten_query")) == Counter((o[1], "none" if o[3] == "5-LOW" else o[3], f"{o[5]:%Y-%m}") for o in ORDERS)
     assert Counter(got(spark, small, "merge_align")) == Counter([(*n, None) for n in NATIONS] + [(c[0], c[1], c[3]) for c in CUSTOMERS])
+
+
+@pytest.fixture
+def short_recursion(spark):
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "100")
+    yield
+    spark.conf.unset("spark.sql.cteRecursionRowLimit")
+
+
+def test_connect_by_over_more_rows_than_spark_allows_a_recursion(spark, small, short_recursion):
+    assert sorted(int(r[0]) for r in got(spark, small, "connect_by")) == list(range(N))

@@ -113,3 +113,7 @@ def short_recursion(spark):
 
 def test_connect_by_over_more_rows_than_spark_allows_a_recursion(spark, small, short_recursion):
     assert sorted(int(r[0]) for r in got(spark, small, "connect_by")) == list(range(N))
+
+
+def test_recursive_cte_over_more_rows_than_spark_allows_a_recursion(spark, small, short_recursion):
+    assert sum(n for _, n in got(spark, small, "cte_tree")) == N

@@ -117,3 +117,8 @@ def test_connect_by_over_more_rows_than_spark_allows_a_recursion(spark, small, s
 
 def test_recursive_cte_over_more_rows_than_spark_allows_a_recursion(spark, small, short_recursion):
     assert sum(n for _, n in got(spark, small, "cte_tree")) == N
+
+
+def test_stream_of_unique_rows_stays_out_of_the_driver(spark, sf):
+    assert got(spark, sf, "stream_unique") == [(spark.read.parquet(f"{sf}/events.parquet").count(),)]
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("unique_")]

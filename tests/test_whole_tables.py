@@ -2,12 +2,14 @@
 
 import datetime
 import json
+import re
 from collections import Counter
 
 import duckdb
 import pytest
 
 import __spark_entry__
+from tessella.plans.engine import Engine
 
 N = 900
 PRIORITIES, STATES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "5-LOW"], ["F", "O", "P"]
@@ -122,3 +124,21 @@ def test_recursive_cte_over_more_rows_than_spark_allows_a_recursion(spark, small
 def test_stream_of_unique_rows_stays_out_of_the_driver(spark, sf):
     assert got(spark, sf, "stream_unique") == [(spark.read.parquet(f"{sf}/events.parquet").count(),)]
     assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("unique_")]
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "SELECT c.c_custkey, t.o_orderkey FROM customer c, LATERAL (SELECT o_orderkey FROM orders o WHERE o.o_custkey = c.c_custkey ORDER BY o_totalprice DESC, o.o_orderkey LIMIT 1) t",
+        "SELECT c.c_custkey, (SELECT o_orderkey FROM orders o WHERE o.o_custkey = c.c_custkey ORDER BY o_totalprice DESC, o.o_orderkey LIMIT 1) AS o_orderkey FROM customer c",
+    ],
+)
+def test_correlated_limit_ranks_by_its_order(spark, small, text):
+    """A sort key that isn't selected must reach the window by which Spark takes the first rows of each outer row."""
+    df = Engine(spark, small).run(text, "pg")
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"windowspecdefinition\(o_custkey#\d+L?, _o0#\d+ DESC", plan), plan
+    first = {}
+    for o in sorted(ORDERS, key=lambda o: (-o[4], o[0])):
+        first.setdefault(o[1], o[0])
+    assert {r[0]: r[1] for r in df.collect() if r[1] is not None} == {k: v for k, v in first.items() if k < N}
